@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, urls
+from . import minhash, mixing, packing, quality, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_quality_rules": quality.op2_quality_rules,
     "op6_url_filter": urls.op6_url_filter,
+    "op9_pack_documents": packing.op9_pack_documents,
+    "op10_probminhash": minhash.op10_probminhash,
 }
 ORACLE_SQL = {"op1_mix_sources": mixing.SQL}
