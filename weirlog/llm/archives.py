@@ -284,3 +284,18 @@ def op4_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     packages = write_packages(pages, stage_path(spark, "warc"))
     return read_packages(packages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT *, array_to_string(list_transform(range(0, 32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, ((k // 4) * 5 + 1)::INTEGER, 5))::BIGINT >> (5 * (3 - k % 4))::INTEGER) & 31)::INTEGER + 1, 1)), '') AS payload_digest
+  FROM p),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM d JOIN f USING (h)
+"""

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, quality, urls
+from . import archives, extraction, minhash, mixing, packing, quality, toxicity, urls, vectors
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_vector_links": vectors.op3_vector_links,
+    "op4_warc_packages": archives.op4_warc_packages,
+    "op5_html_text": extraction.op5_html_text,
     "op6_url_filter": urls.op6_url_filter,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_pack_documents": packing.op9_pack_documents,
     "op10_probminhash": minhash.op10_probminhash,
 }
-ORACLE_SQL = {"op1_mix_sources": mixing.SQL}
+ORACLE_SQL = {"op1_mix_sources": mixing.SQL, "op4_warc_packages": archives.SQL}
