@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, extraction, minhash, mixing, packing, quality, toxicity, urls, vectors
+from . import archives, extraction, minhash, mixing, packing, quality, suffixes, toxicity, urls, vectors
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_warc_packages": archives.op4_warc_packages,
     "op5_html_text": extraction.op5_html_text,
     "op6_url_filter": urls.op6_url_filter,
+    "op7_suffix_dedup": suffixes.op7_suffix_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_pack_documents": packing.op9_pack_documents,
     "op10_probminhash": minhash.op10_probminhash,
