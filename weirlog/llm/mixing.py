@@ -46,7 +46,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epoch
 
 def mix_sources(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, cut: bool = True,
+    weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, cut: bool = True, carry: bool = False,
 ) -> DataFrame:
     """How many words of each document a mixture takes.
 
@@ -60,10 +60,11 @@ def mix_sources(
 
     Null text: size 0, taken 0. Null source: a source of its own, last in order. Null and repeated ids: rows with equal
     key, id and size are interchangeable; each is counted. Empty table: no rows. Other columns are not read.
-    Returns (id, source, size, source_size, target, epochs, taken).
+    With carry, the document's own columns come along in a struct `row`, at the price of shuffling them.
+    Returns (doc_id, source, size, source_size, target, epochs, taken).
     """
     text = F.col(text_col)
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), quality_weight(text).alias("w"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), quality_weight(text).alias("w"), *([F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else []))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("size").cast("string"))), 1, 13), 16, 10)
     d = d.withColumn("key", -F.log((draw.cast("double") + 0.5) / float(2**52)) / F.col("w"))
     d = stage(d, "mix")
@@ -91,7 +92,7 @@ def mix_sources(
     else:
         extra = F.when(2 * F.col("before") + F.col("size") <= 2 * F.col("left"), F.col("size")).otherwise(0)
     taken = F.col("epochs") * F.col("size") + extra
-    return d.select("doc_id", "source", "size", "source_size", "target", "epochs", taken.cast("long").alias("taken"))
+    return d.select("doc_id", "source", "size", "source_size", "target", "epochs", taken.cast("long").alias("taken"), *(["row"] if carry else []))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

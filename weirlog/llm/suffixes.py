@@ -403,8 +403,8 @@ def _match_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield _gone_batch(_merged(did[x], tag[x], begin[x], end[x]))
 
 
-def _apply(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
-    """Replace the last two columns (text, intervals) by (kept bytes, merged spans, their count, bytes removed, bytes before)."""
+def _apply(batches: Iterator[pa.RecordBatch], at: int, as_text: bool) -> Iterator[pa.RecordBatch]:
+    """Replace the last two columns (text, intervals) by (kept, merged spans, bytes removed, bytes before)."""
     for batch in batches:
         out: list[tuple] = []
         for text, gone in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True):
@@ -420,13 +420,14 @@ def _apply(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatc
                 kept.append(raw[last:b])
                 last = e
             kept.append(raw[last:])
-            out.append((b"".join(kept), [{"begin": b, "end": e} for b, e in spans], sum(e - b for b, e in spans), len(raw)))
-        kinds = (pa.binary(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.int64(), pa.int64())
+            data = b"".join(kept)
+            out.append((data.decode(errors="ignore") if as_text else data, [{"begin": b, "end": e} for b, e in spans], sum(e - b for b, e in spans), len(raw)))
+        kinds = (pa.string() if as_text else pa.binary(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.int64(), pa.int64())
         cols = [pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:at], *cols], names=[*batch.schema.names[:at], "kept_bytes", "spans", "n_removed", "n_bytes"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:at], *cols], names=[*batch.schema.names[:at], "kept", "spans", "n_removed", "n_bytes"])
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
     """Remove every byte that lies in a 100-byte string which also starts earlier, in a smaller document or before it in the same.
 
     1. Every window of 100 bytes has an anchor, chosen by its bytes alone; windows in a row with one anchor form a run
@@ -439,7 +440,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Null text: empty. Null id: ordered after all others. Rows that repeat an id with the same text are one document and
     do not remove each other; with other texts they are ordered by a hash of the text. Empty table: no rows. Other
-    columns are kept. Returns docs' columns and (kept_bytes, spans, n_removed, n_bytes).
+    columns are kept. Returns docs' columns and (kept, spans, n_removed, n_bytes); kept is binary, or with as_text a string
+    without the characters that lost a part.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -470,9 +472,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     names = docs.columns
     inner = keyed.join(lists, ["did", "tag"], "left").select(*[F.col("row").getField(c).alias(c) for c in names], F.col("body").alias("weirlog_body"), F.col("gone").alias("weirlog_gone"))
     k = len(names)
-    more = T.StructType.fromDDL("kept_bytes binary, spans array<struct<begin:bigint,end:bigint>>, n_removed bigint, n_bytes bigint")
+    more = T.StructType.fromDDL(f"kept {'string' if as_text else 'binary'}, spans array<struct<begin:bigint,end:bigint>>, n_removed bigint, n_bytes bigint")
     out = T.StructType([*docs.schema.fields, *more.fields])
-    return inner.mapInArrow(lambda it: _apply(it, k), out)
+    return inner.mapInArrow(lambda it: _apply(it, k, as_text), out)
 
 
 def _repeated(source: DataFrame) -> bool:
@@ -483,4 +485,4 @@ def _repeated(source: DataFrame) -> bool:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     r = remove_repeats(docs)
-    return r.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    return r.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
