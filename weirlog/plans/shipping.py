@@ -10,11 +10,17 @@ from pyspark.sql import SparkSession
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _done: set[str] = set()
+#: Rows of one Arrow batch, where the session leaves Spark's default: whole texts come by the batch, and a batch of
+#: 10,000 of them takes hundreds of MB in the JVM and in each Python worker.
+BATCH_ROWS = 1_000
+_ROWS_KEY, _ROWS_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def ship(spark: SparkSession) -> None:
     """Hand the package's source to the executors through Spark's own file server, once an application."""
     sc = spark.sparkContext
+    if spark.conf.get(_ROWS_KEY) == _ROWS_DEFAULT:
+        spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
     if sc.applicationId in _done:
         return
     path = os.path.join(tempfile.mkdtemp(prefix="weirlog-code-"), "weirlog_code.zip")
