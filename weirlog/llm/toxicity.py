@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..plans.shipping import ship
 
 #: At most this many labelled rows of each class are learnt from, by the order of a hash of their ids.
-SAMPLE = 4_000
+SAMPLE = 2_000
 THRESHOLD = 0.3
 #: A word is an insult if enough unrelated toxic texts of the sample hold it and its log-odds reach this.
 LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 3, 0.005, 2.0
@@ -152,24 +152,44 @@ def score(x: np.ndarray | None, model: Model) -> float:
     return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _unrelated(sets: list[frozenset]) -> list[int]:
-    """A group number for each word set; sets that share much of their words get one number."""
-    group, seen = list(range(len(sets))), {}
+def _unrelated(texts: list[str]) -> list[int]:
+    """A group number for each text; texts that share much of their words get one number."""
+    group, seen = list(range(len(texts))), {}
 
     def root(i: int) -> int:
         while group[i] != i:
             i = group[i]
         return i
 
-    for i, s in enumerate(sets):
-        if not s:
+    for i, t in enumerate(texts):
+        words = _words(t)
+        if not words:
             continue
-        h = np.fromiter((hash_word(w) for w in s), dtype=np.uint64, count=len(s))
+        h = np.fromiter((hash_word(w) for w in words), dtype=np.uint64, count=len(words))
         low = [int((h * np.uint64(m)).min()) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
         for key in ((0, low[0], low[1]), (1, low[2], low[3]), (2, low[4], low[5])):
             a, b = root(seen.setdefault(key, i)), root(i)
             group[max(a, b)] = min(a, b)
-    return [root(i) for i in range(len(sets))]
+    return [root(i) for i in range(len(texts))]
+
+
+def _words(text: str) -> frozenset:
+    return frozenset(_WORD.findall(text.lower()))
+
+
+def _marks(texts: list[str], group: list[int], parts: Callable[[frozenset], Iterable[str]], only: frozenset | None = None) -> tuple[Counter, int]:
+    """(in how many groups of texts a part occurs, number of groups); group by group, so that only counts are held."""
+    count, n, order = Counter(), 0, sorted(range(len(texts)), key=lambda i: group[i])
+    k = 0
+    while k < len(order):
+        found: set[str] = set()
+        g = group[order[k]]
+        while k < len(order) and group[order[k]] == g:
+            found.update(parts(_words(texts[order[k]])))
+            k += 1
+        count.update(found if only is None else found & only)
+        n += 1
+    return count, max(n, 1)
 
 
 def hash_word(w: str) -> int:
@@ -180,22 +200,20 @@ def hash_word(w: str) -> int:
 
 def learn(texts: list[str], toxic: list[int], prior: float) -> Model:
     """Insult weights by log-odds, then the grammar's feature weights by logistic regression; prior is the true share of toxic texts."""
-    sets = [frozenset(_WORD.findall(t.lower())) for t in texts]
-    group = _unrelated(sets)
-    n = {y: max(1, len({g for g, z in zip(group, toxic, strict=True) if z == y})) for y in (0, 1)}
-    least = max(LEAST_TEXTS, LEAST_SHARE * n[1])
+    group = _unrelated(texts)
+    side = {y: ([t for t, z in zip(texts, toxic, strict=True) if z == y], [g for g, z in zip(group, toxic, strict=True) if z == y]) for y in (0, 1)}
 
-    def weigh(parts: list[frozenset]) -> dict[str, float]:
+    def weigh(parts: Callable[[frozenset], Iterable[str]]) -> dict[str, float]:
         """Log-odds of the parts that mark toxic texts, counted once for each group of related texts."""
-        held: dict[int, defaultdict[str, set]] = {0: defaultdict(set), 1: defaultdict(set)}
-        for s, y, g in zip(parts, toxic, group, strict=True):
-            for w in s:
-                held[y][w].add(g)
-        odds = {w: math.log((len(g) + 0.5) / (n[1] + 1)) - math.log((len(held[0].get(w, ())) + 0.5) / (n[0] + 1)) for w, g in held[1].items() if len(g) >= least}
+        bad, n1 = _marks(*side[1], parts)
+        least = max(LEAST_TEXTS, LEAST_SHARE * n1)
+        bad = {w: k for w, k in bad.items() if k >= least}
+        good, n0 = _marks(*side[0], parts, frozenset(bad))
+        odds = {w: math.log((k + 0.5) / (n1 + 1)) - math.log((good[w] + 0.5) / (n0 + 1)) for w, k in bad.items()}
         return {w: round(v, 6) for w, v in odds.items() if v >= LEAST_ODDS}
 
-    insults = weigh(sets)
-    stems = weigh([frozenset(w[:k] for w in s if len(w) > STEMS[0] and w not in insults for k in STEMS if len(w) >= k) for s in sets])
+    insults = weigh(lambda words: words)
+    stems = weigh(lambda words: (w[:k] for w in words if len(w) > STEMS[0] and w not in insults for k in STEMS if len(w) >= k))
     machine, lexicon = grammar(), Lexicon(insults, stems)
     x = [features(t, lexicon, machine) for t in texts]
     a = np.array([np.zeros(len(FEATURES)) if v is None else v for v in x]).reshape(len(texts), len(FEATURES))
