@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import strip_text
 
@@ -61,7 +60,7 @@ def raw_line_count(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).count()
 
 
-RUN_SCHEMA = T.StructType.fromDDL(
+RUN_SCHEMA = (
     "run_id string, dataset string, quadrant string, config_hash string, rows long, sampling_protocol string, bucket_count long, cluster_count long, template_count long, "
     "config struct<preprocess_mode:string,parameter_mode:string,params:struct<theta:double,n_positions:int,tau:double,sample_size:int,top_k:int,delta_l:int,early_stop:double>>, "
     "protocol struct<evaluation_mode:string,dataset_specific_preprocessing:boolean,dataset_specific_parameters:boolean,target_file_used_for_template_generation:boolean,target_file_used_for_cache_initialization:boolean,chronological_split:boolean,held_out_target_system:boolean>, "
@@ -75,19 +74,23 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
     return df.select("*", F.col("_metadata.file_path").alias("path")).orderBy("path")
 
 
-RESULT_SCHEMA = T.StructType.fromDDL(
-    "Timestamp string, Dataset string, TotalLogs long, GT_Clusters long, Pred_Clusters long, Matched_Clusters long, Matched_Templates long, "
-    "PA double, GA double, FGA double, PTA double, RTA double, FTA double, FTA_definition string, `Runtime(s)` double, `EPS(Logs/s)` double"
+_WORDS, _COUNTS = ("Timestamp", "Dataset", "FTA_definition"), ("TotalLogs", "GT_Clusters", "Pred_Clusters", "Matched_Clusters", "Matched_Templates")
+RESULT_COLUMNS = (
+    "Timestamp", "Dataset", "TotalLogs", "GT_Clusters", "Pred_Clusters", "Matched_Clusters", "Matched_Templates", "PA", "GA", "FGA", "PTA", "RTA", "FTA", "FTA_definition", "Runtime(s)", "EPS(Logs/s)",
 )
 
 
+def _result_type(name: str) -> str:
+    return "string" if name in _WORDS else "long" if name in _COUNTS else "double"
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """A metrics summary, or all that a glob names; columns that older files lack are null."""
     names = spark.read.options(header=True).csv(path).columns
     have = {n.lstrip("﻿") for n in names}
     text = spark.read.options(header=True).csv(path)
     text = text.withColumnsRenamed({n: n.lstrip("﻿") for n in names if n != n.lstrip("﻿")})
-    return text.select(*[(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in RESULT_SCHEMA])
+    return text.select(*[(F.col(f"`{n}`") if n in have else F.lit(None)).cast(_result_type(n)).alias(n) for n in RESULT_COLUMNS])
 
 
 def read_variant_results(spark: SparkSession, folder: str) -> DataFrame:
