@@ -18,13 +18,13 @@ LENGTH = 100
 #: Bytes of the strings that anchors are chosen by; any two equal strings of LENGTH bytes choose the same anchor in them.
 GRAM = 32
 #: Bytes hashed at a time; a longer document is taken in overlapping parts.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: Runs held before equal ones are dropped and the rest sent on.
-HOLD = 2_000_000
+HOLD = 600_000
 #: An anchor with more different contexts than this is compared window by window, spread over tasks by window.
 CROWD = 4_000
 #: Bytes of contexts sorted at a time.
-SORT_BYTES = 1 << 21
+SORT_BYTES = 1 << 19
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -178,7 +178,7 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _match_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _match_runs(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.RecordBatch]:
     """All rows of an anchor are in one partition. Later equal contexts are removed; an anchor's different contexts go on, if two.
 
     Out: (kind, h, did, tag, begin, end, left); kind 0 an interval to remove, 1 a context to compare, 2 one of a crowd.
@@ -201,7 +201,7 @@ def _match_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.diff(np.concatenate((at, [len(o)])))
     times = np.repeat(n, n)
     more = o[times > 1]
-    kind = np.where(times[times > 1] > CROWD, 2, 1)
+    kind = np.where(times[times > 1] > crowd, 2, 1)
     cols = (
         np.concatenate((np.zeros(len(did), np.int64), kind)), np.concatenate((np.zeros(len(did), np.int64), r["h"][more])),
         np.concatenate((did, r["did"][more])), np.concatenate((tag, r["tag"][more])), np.concatenate((begin, r["lo"][more])),
@@ -373,22 +373,30 @@ def _compare_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _crowd_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of crowds: those that repeat one of this task are removed here (kind 0), the others go on by their hashes."""
-    for batch in batches:
-        h, did, tag, begin, left, raw = (c.to_pylist() for c in batch.columns)
-        if not h:
-            continue
+    """Windows of crowds: those that repeat one of this task's are removed here (kind 0), the others go on by their hashes."""
+    rows: list[tuple] = []
+
+    def out() -> pa.RecordBatch:
+        h, did, tag, begin, left, raw = zip(*rows, strict=True)
         did, tag, begin, left = (np.array(v, dtype=np.int64) for v in (did, tag, begin, left))
-        gone, (row, offset) = _gone_windows(raw, np.array(h), left, did, tag, begin)
+        gone, (row, offset) = _gone_windows(list(raw), np.array(h), left, did, tag, begin)
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
         sizes = np.array([len(x) for x in raw])
         at = (np.cumsum(sizes) - sizes)[row] + offset
         w = span_hash(prefix_hash(data), at, at + LENGTH)
         v = mix(span_hash(prefix_hash(data ^ 0x5A), at, at + LENGTH) + M64(3))
-        n, m = len(gone[0]), len(row)
-        zero = np.zeros(n, np.int64)
-        cols = (np.concatenate((zero, np.ones(m, np.int64))), np.concatenate((zero, w.view(np.int64))), np.concatenate((zero, v.view(np.int64))), np.concatenate((gone[0], did[row])), np.concatenate((gone[1], tag[row])), np.concatenate((gone[2], begin[row] + offset)), np.concatenate((gone[3], begin[row] + offset + LENGTH)))
-        yield pa.record_batch([pa.array(c) for c in cols], names=["kind", "w", "v", *GONE])
+        zero, one = np.zeros(len(gone[0]), np.int64), np.ones(len(row), np.int64)
+        start = begin[row] + offset
+        pairs = ((zero, one), (zero, w.view(np.int64)), (zero, v.view(np.int64)), (gone[0], did[row]), (gone[1], tag[row]), (gone[2], start), (gone[3], start + LENGTH))
+        return pa.record_batch([pa.array(np.concatenate(p)) for p in pairs], names=["kind", "w", "v", *GONE])
+
+    for batch in batches:
+        rows += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        if len(rows) >= CROWD:
+            yield out()
+            rows = []
+    if rows:
+        yield out()
 
 
 def _match_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,7 +435,7 @@ def _apply(batches: Iterator[pa.RecordBatch], at: int, as_text: bool) -> Iterato
         yield pa.RecordBatch.from_arrays([*batch.columns[:at], *cols], names=[*batch.schema.names[:at], "kept", "spans", "n_removed", "n_bytes"])
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, crowd: int = CROWD) -> DataFrame:
     """Remove every byte that lies in a 100-byte string which also starts earlier, in a smaller document or before it in the same.
 
     1. Every window of 100 bytes has an anchor, chosen by its bytes alone; windows in a row with one anchor form a run
@@ -435,7 +443,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     removed at once, so copies do not pile up on an anchor. 2. By anchor, the first of equal contexts stays and later
     ones are removed. 3. Only anchors with different contexts fetch their bytes: their suffixes are sorted by
     hash-compared mergesort and equal neighbours, verified byte by byte, are removed but for the first. 4. Anchors with
-    more than CROWD contexts are compared by window hashes (128 bits) spread over tasks. 5. Each document's intervals
+    more than `crowd` contexts are compared by window hashes (128 bits) spread over tasks. 5. Each document's intervals
     are merged and cut out.
 
     Null text: empty. Null id: ordered after all others. Rows that repeat an id with the same text are one document and
@@ -450,7 +458,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), did.alias("did"), F.hash(text).alias("tag"), text.alias("body"))
     source = keyed.where(F.octet_length("body") >= LENGTH).select("did", "tag", "body")
     runs = source.mapInArrow(_find_runs, "h long, c long, did long, tag int, lo long, left short, span short").repartition("h")
-    found = stage(runs.mapInArrow(_match_runs, "kind long, h long, did long, tag long, begin long, end long, left long"), "sxfound")
+    found = stage(runs.mapInArrow(lambda it: _match_runs(it, crowd), "kind long, h long, did long, tag long, begin long, end long, left long"), "sxfound")
     found = found.withColumn("tag", F.col("tag").cast("int"))
     gone = found.where("kind = 0").select(*GONE)
     asked = found.where("kind > 0").groupBy("did", "tag").agg(F.collect_list(F.struct("kind", "h", "begin", "end", "left")).alias("asked"))
@@ -459,10 +467,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     cut = stage(cut, "sxcut")
     rows = ["h", "did", "tag", "begin", "left", "bytes"]
     few = cut.where("kind = 1").select(*rows).repartition("h").sortWithinPartitions("h").mapInArrow(_compare_contexts, "did long, tag long, begin long, end long")
-    crowd = cut.where("kind = 2").select(*rows)
+    many = cut.where("kind = 2").select(*rows)
     parts = [gone, few]
-    if crowd.limit(1).count():
-        windows = stage(crowd.mapInArrow(_crowd_windows, "kind long, w long, v long, did long, tag long, begin long, end long"), "sxwin")
+    if many.limit(1).count():
+        windows = stage(many.mapInArrow(_crowd_windows, "kind long, w long, v long, did long, tag long, begin long, end long"), "sxwin")
         parts.append(windows.where("kind = 0").select(*GONE))
         parts.append(windows.where("kind = 1").select("w", "v", *GONE).repartition("w", "v").mapInArrow(_match_windows, "did long, tag long, begin long, end long"))
     every = parts[0]
