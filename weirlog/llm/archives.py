@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import gzip
 import hashlib
 import json
 import struct
@@ -20,6 +21,8 @@ from .common import stage, stage_path
 
 #: A package is closed when its archive member has this many bytes.
 PACKAGE_BYTES = 64 << 20
+#: Every record is a gzip member of its own, as is usual for archives that are read by range.
+GZIP_LEVEL = 1
 #: Bytes read at once from an archive member.
 READ_BYTES = 4 << 20
 MAX16, MAX32 = 0xFFFF, 0xFFFFFFFF
@@ -186,8 +189,9 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, package_bytes: int, f
             if zipped is None:
                 path = f"{folder}/package-{uuid.uuid4().hex}.wacz"
                 zipped = ZipWriter(fs.open_output_stream(f"{base}/{path.rsplit('/', 1)[1]}"), force64)
-                zipped.begin("archive/data.warc")
+                zipped.begin("archive/data.warc.gz")
             data = record_bytes(page_id, url, (html or "").encode(), base64.b32encode(bytes.fromhex(digest)).decode(), refers_to, response)
+            data = gzip.compress(data, GZIP_LEVEL, mtime=0)
             at = zipped.write(data)
             index.append(json.dumps({"id": page_id, "offset": at, "length": len(data)}))
             if at + len(data) >= package_bytes:
@@ -222,14 +226,14 @@ def read_package(uri: str, payloads: bool = True) -> Iterator[dict]:
     with fs.open_input_file(path) as raw:
         f = _Ranges(raw)
         members = read_directory(f, raw.size())
-        begin, size, _ = members["archive/data.warc"]
+        begin, size, _ = members["archive/data.warc.gz"]
         at, length, crc = members["indexes/index.cdxj"]
         index = f.read_at(length, at)
         if binascii.crc32(index) != crc:
             raise ValueError(f"the index of {uri} is broken")
         for line in index.decode().split("\n"):
             entry = json.loads(line)
-            record = parse_record(f.range(begin + entry["offset"], entry["length"], begin + size))
+            record = parse_record(gzip.decompress(f.range(begin + entry["offset"], entry["length"], begin + size)))
             if not payloads:
                 record["payload"] = None
             yield record | {"package": uri}
