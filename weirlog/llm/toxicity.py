@@ -14,12 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
+from .shingles import mix
 
 #: At most this many labelled rows of each class are learnt from, by the order of a hash of their ids.
 SAMPLE = 2_000
 THRESHOLD = 0.3
-#: A word is an insult if enough unrelated toxic texts of the sample hold it and its log-odds reach this.
-LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 3, 0.005, 2.0
+#: A word is an insult if enough unrelated toxic texts of the sample hold it and its log-odds, less SURE standard errors, reach this.
+LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS, SURE = 3, 0.005, 1.5, 1.64
+#: Texts whose word sets agree in one of so many groups of so many minima count as related; strict, as relation is passed on.
+RELATED_BANDS, RELATED_ROWS = 4, 6
 #: Word beginnings of these lengths are weighed like words, for forms that the sample does not hold.
 STEMS = (5, 6, 7)
 #: Words of the closed classes, in English, German, French and Spanish.
@@ -166,8 +169,8 @@ def _unrelated(texts: list[str]) -> list[int]:
         if not words:
             continue
         h = np.fromiter((hash_word(w) for w in words), dtype=np.uint64, count=len(words))
-        low = [int((h * np.uint64(m)).min()) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
-        for key in ((0, low[0], low[1]), (1, low[2], low[3]), (2, low[4], low[5])):
+        for band in range(RELATED_BANDS):
+            key = (band, *(int(mix(h ^ np.uint64(1 + band * RELATED_ROWS + k)).min()) for k in range(RELATED_ROWS)))
             a, b = root(seen.setdefault(key, i)), root(i)
             group[max(a, b)] = min(a, b)
     return [root(i) for i in range(len(texts))]
@@ -210,7 +213,8 @@ def learn(texts: list[str], toxic: list[int], prior: float) -> Model:
         bad = {w: k for w, k in bad.items() if k >= least}
         good, n0 = _marks(*side[0], parts, frozenset(bad))
         odds = {w: math.log((k + 0.5) / (n1 + 1)) - math.log((good[w] + 0.5) / (n0 + 1)) for w, k in bad.items()}
-        return {w: round(v, 6) for w, v in odds.items() if v >= LEAST_ODDS}
+        error = {w: math.sqrt(1 / (k + 0.5) + 1 / (good[w] + 0.5)) for w, k in bad.items()}
+        return {w: round(v, 6) for w, v in odds.items() if v - SURE * error[w] >= LEAST_ODDS}
 
     insults = weigh(lambda words: words)
     stems = weigh(lambda words: (w[:k] for w in words if len(w) > STEMS[0] and w not in insults for k in STEMS if len(w) >= k))
