@@ -13,7 +13,7 @@ MAX_REPEAT_PERCENT = 50
 #: A language and source (else a language, else all) with fewer documents has no estimate of its own.
 MIN_GROUP = 200
 #: Share of a group's documents that its estimate rests on.
-CORE = 0.75
+CORE = 0.5
 STEPS = 4
 #: Reject beyond this many times the distance that CORE of the group keeps within.
 REACH = 12.0
