@@ -32,11 +32,11 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A character that is cut in two goes as a whole. n_chars follows the text. Documents that lose nothing stay as they are.
     """
-    r = suffixes.remove_repeats(docs.withColumnRenamed("n_chars", "weirlog_chars"), as_text=True)
+    r = suffixes.remove_repeats(docs, as_text=True)
     changed = F.col("n_removed") > 0
     r = r.where((F.col("n_removed") < F.col("n_bytes")) | ~changed)
-    new = r.withColumns({"text": F.when(changed, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("weirlog_chars"))})
-    return new.select(*docs.columns)
+    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))}
+    return r.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

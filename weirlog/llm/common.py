@@ -83,8 +83,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         mark = now
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
+        least = stage(least, "ccleast")  # else the join below keeps the aggregate's partitions, which Spark cannot split
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        small = large.groupBy(F.col("hi").alias("w")).agg(F.min("lo").alias("m"))
+        large = stage(large, "cclarge")
+        small = stage(large.groupBy(F.col("hi").alias("w")).agg(F.min("lo").alias("m")), "ccsmall")
         joined = large.join(small, F.col("hi") == F.col("w"))
         star = joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(small.select(F.col("w").alias("hi"), F.col("m").alias("lo")))
         e = stage(star.distinct(), "cc")

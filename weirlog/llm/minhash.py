@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signed = stage(text.mapInArrow(_sign, "doc_id long, k1 long, k2 long, sig binary, bands array<long>"), "mhsig")
     copies = signed.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = stage(copies, "mhcopies")  # so the join below shuffles both sides, and Spark can split a large class of copies
-    keyed = signed.select("doc_id", "k1", "k2").join(copies, ["k1", "k2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("copy_id"))
+    keyed = signed.select("doc_id", "k1", "k2").join(copies, ["k1", "k2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("copy_id"))
     keyed = stage(keyed, "mhcopy")
     own = keyed.where("doc_id = copy_id").select("doc_id").distinct()
     reps = signed.where("sig is not null").join(own, "doc_id").select(F.col("doc_id").alias("rep"), "sig", "bands")

@@ -64,7 +64,7 @@ def mix_sources(
     Returns (doc_id, source, size, source_size, target, epochs, taken).
     """
     text = F.col(text_col)
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), quality_weight(text).alias("w"), *([F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else []))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), quality_weight(text).alias("w"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("size").cast("string"))), 1, 13), 16, 10)
     d = d.withColumn("key", -F.log((draw.cast("double") + 0.5) / float(2**52)) / F.col("w"))
     d = stage(d, "mix")

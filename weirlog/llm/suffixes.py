@@ -448,14 +448,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Null text: empty. Null id: ordered after all others. Rows that repeat an id with the same text are one document and
     do not remove each other; with other texts they are ordered by a hash of the text. Empty table: no rows. Other
-    columns are kept. Returns docs' columns and (kept, spans, n_removed, n_bytes); kept is binary, or with as_text a string
+    columns are kept. Returns (row, kept, spans, n_removed, n_bytes): row holds docs' columns; kept is binary, or with as_text a string
     without the characters that lost a part.
     """
     spark = docs.sparkSession
     ship(spark)
     did = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), did.alias("did"), F.hash(text).alias("tag"), text.alias("body"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), did.alias("did"), F.hash(text).alias("tag"), text.alias("body"))
     source = keyed.where(F.octet_length("body") >= LENGTH).select("did", "tag", "body")
     runs = source.mapInArrow(_find_runs, "h long, c long, did long, tag int, lo long, left short, span short").repartition("h")
     found = stage(runs.mapInArrow(lambda it: _match_runs(it, crowd), "kind long, h long, did long, tag long, begin long, end long, left long"), "sxfound")
@@ -477,12 +477,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     for p in parts[1:]:
         every = every.unionByName(p.withColumn("tag", F.col("tag").cast("int")))
     lists = stage(every.groupBy("did", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("gone")), "sxgone")
-    names = docs.columns
-    inner = keyed.join(lists, ["did", "tag"], "left").select(*[F.col("row").getField(c).alias(c) for c in names], F.col("body").alias("weirlog_body"), F.col("gone").alias("weirlog_gone"))
-    k = len(names)
+    inner = keyed.join(lists, ["did", "tag"], "left").select("row", "body", "gone")
     more = T.StructType.fromDDL(f"kept {'string' if as_text else 'binary'}, spans array<struct<begin:bigint,end:bigint>>, n_removed bigint, n_bytes bigint")
-    out = T.StructType([*docs.schema.fields, *more.fields])
-    return inner.mapInArrow(lambda it: _apply(it, k, as_text), out)
+    return inner.mapInArrow(lambda it: _apply(it, 1, as_text), T.StructType([inner.schema["row"], *more.fields]))
 
 
 def _repeated(source: DataFrame) -> bool:
@@ -493,4 +490,4 @@ def _repeated(source: DataFrame) -> bool:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     r = remove_repeats(docs)
-    return r.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return r.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
