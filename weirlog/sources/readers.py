@@ -100,4 +100,4 @@ def read_variant_results(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_whole_text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "text")
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
