@@ -22,7 +22,8 @@ def table_inventory(df: DataFrame, *, ids: str = "LineId", event: str | None = N
     exprs.append(F.count_distinct(event).alias("unique_events") if event else F.lit(None).cast("long").alias("unique_events"))
     exprs.append(F.count_distinct(evaluation_key(F.col(template))).alias("unique_templates") if template else F.lit(None).cast("long").alias("unique_templates"))
     least = df.select(F.col(ids).cast("string").alias("i")).distinct().orderBy("i").limit(3).agg(F.array_sort(F.collect_list("i")).alias("smallest"))
-    return df.agg(*exprs).crossJoin(least)
+    both = df.agg(*exprs).unionByName(least, allowMissingColumns=True)  # one row each, then one of both
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def occurrence_check(templates: DataFrame, rows: int) -> DataFrame:

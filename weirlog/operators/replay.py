@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canonical_key, tokens
+from ..plans.staging import dimension
 
 UNKNOWN_EVENT, UNKNOWN_TEMPLATE = "E99", "<*>"
 SIZE_BAND, GOOD_ENOUGH = 12, 0.85
@@ -35,10 +36,10 @@ def nearest_templates(strings: DataFrame, events: DataFrame, *, band: int = SIZE
 def replay(rows: DataFrame, trained: DataFrame, events: DataFrame, **options) -> DataFrame:
     """rows (idx, masked, ...) with event_id, event_template and source (exact or nearest).
 
-    trained (masked, event_id) is the model's cache, bounded by its training limit and broadcast, so rows that it knows
+    trained (masked, event_id) is the model's cache, bounded by its training limit and broadcast behind a check, so rows that it knows
     are not shuffled, however many share a string. The others are resolved once per different string.
     """
-    known = rows.join(F.broadcast(trained.select(F.col("masked").alias("t"), "event_id")), F.col("masked") == F.col("t"), "left").drop("t")
+    known = rows.join(dimension(trained.select(F.col("masked").alias("t"), "event_id")), F.col("masked") == F.col("t"), "left").drop("t")
     hits, misses = known.where("event_id is not null").withColumn("source", F.lit("exact")), known.where("event_id is null").drop("event_id")
     found = nearest_templates(misses.select("masked").distinct(), events, **options).withColumnRenamed("masked", "t")
     rest = misses.join(found, F.col("masked") == F.col("t")).drop("t").withColumn("source", F.lit("nearest"))
@@ -46,7 +47,7 @@ def replay(rows: DataFrame, trained: DataFrame, events: DataFrame, **options) ->
 
 
 def with_template(rows: DataFrame, events: DataFrame, unknown: str = UNKNOWN_TEMPLATE) -> DataFrame:
-    names = F.broadcast(events.select(F.col("event_id").alias("e"), "event_template").distinct())
+    names = dimension(events.select(F.col("event_id").alias("e"), "event_template").distinct())
     return rows.join(names, F.col("event_id") == F.col("e"), "left").drop("e").withColumn("event_template", F.coalesce("event_template", F.lit(unknown)))
 
 
@@ -56,10 +57,10 @@ def replay_canonical(rows: DataFrame, trained: DataFrame, events: DataFrame, *,
     trained (masked, event_id, cluster_id): a key of trained strings stands for the one of the lowest cluster. Of the
     rest, the first row of each key (by idx) is resolved by similarity and all its key's later rows take its event.
     """
-    cache = F.broadcast(trained.select(F.col("masked").alias("t"), F.col("event_id").alias("e1")))
+    cache = dimension(trained.select(F.col("masked").alias("t"), F.col("event_id").alias("e1")))
     keys = trained.select(canonical_key(F.col("masked")).alias("k"), "event_id", "cluster_id").groupBy("k").agg(F.min_by("event_id", "cluster_id").alias("e2"))
     r = rows.join(cache, F.col("masked") == F.col("t"), "left").drop("t").withColumn("canonical", canonical_key(F.col("masked")))
-    r = r.join(F.broadcast(keys), F.col("canonical") == F.col("k"), "left").drop("k")
+    r = r.join(dimension(keys), F.col("canonical") == F.col("k"), "left").drop("k")
     done = r.where("e1 is not null or e2 is not null").withColumns({"event_id": F.coalesce("e1", "e2"), "source": F.when(F.col("e1").isNotNull(), "exact").otherwise("canonical")})
     open_ = r.where("e1 is null and e2 is null")
     first = open_.groupBy("canonical").agg(F.min("idx").alias("first_idx"), F.min_by("masked", "idx").alias("first_masked"))
@@ -89,7 +90,7 @@ def prefix_matches(strings: DataFrame, trained: DataFrame) -> DataFrame:
     n = F.size("seq")
     p = s.where(n > 0).select("masked", n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("matched"), "seq")
     p = p.select("masked", "n", "matched", F.array_join(F.slice("seq", 1, F.col("matched")), " ").alias("prefix"))
-    best = p.join(F.broadcast(t), "prefix").where(F.col("matched") >= 0.5 * F.col("n")).groupBy("masked").agg(F.max_by("event_id", "matched").alias("event_id"), F.max("matched").alias("matched"))
+    best = p.join(dimension(t), "prefix").where(F.col("matched") >= 0.5 * F.col("n")).groupBy("masked").agg(F.max_by("event_id", "matched").alias("event_id"), F.max("matched").alias("matched"))
     out = s.select(F.col("masked").alias("m"), F.size("seq").alias("n"))
     return out.join(best, F.col("m") == F.col("masked"), "left").select(F.col("m").alias("masked"), "event_id", F.coalesce("matched", F.lit(0)).alias("matched"), "n")
 

@@ -12,7 +12,7 @@ from ..config import UNIFORM, Params, params, resolve
 from ..functions import evaluation_key, mask, strip_text, template_key
 from ..operators import buckets, clustering, events, metrics, patterns
 from ..operators import replay as replays
-from .staging import stage
+from .staging import dimension, stage
 
 #: Larger inputs are trained on their most frequent different strings and replayed.
 FULL_PARSE_ROWS, TOP_STRINGS = 50_000, 8_000
@@ -103,7 +103,7 @@ def fit_items(items: DataFrame, s: Settings, bucketed: bool = True) -> tuple[Dat
         t = numbered.select("cluster_id", "log_count", "template").distinct()
     named = stage(events.number_events(t, s.event_key), "events")
     ids = named.select(F.col("cluster_id").alias("c"), "event_id")
-    assigned = numbered.select("idx", "cluster_id").join(F.broadcast(ids), F.col("cluster_id") == F.col("c")).drop("c")
+    assigned = numbered.select("idx", "cluster_id").join(dimension(ids), F.col("cluster_id") == F.col("c")).drop("c")
     assigned = assigned.join(tok.select(F.col("idx").alias("i"), "masked"), F.col("idx") == F.col("i")).drop("i")
     return stage(assigned.select("idx", "masked", "cluster_id", "event_id"), "assigned"), named.select("event_ord", "event_id", "event_template").distinct()
 

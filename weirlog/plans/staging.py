@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _fallback: dict[str, str] = {}
 
@@ -23,3 +24,12 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/mine-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Tables of at most this many rows are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 60_000
+
+
+def dimension(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast only if it is counted to have at most max_rows rows."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import canonical_key, mask, strip_text
 from ..operators.replay import UNKNOWN_EVENT, UNKNOWN_TEMPLATE
 from ..plans.mining import Model
+from ..plans.staging import dimension
 
 
 def replay_stream(lines: DataFrame, model: Model, content: str = "Content") -> DataFrame:
@@ -23,9 +24,9 @@ def replay_stream(lines: DataFrame, model: Model, content: str = "Content") -> D
     cache = model.strings.select(F.col("masked").alias("t"), F.col("event_id").alias("e1"))
     names = model.events.select(F.col("event_id").alias("e"), "event_template")
     r = lines.withColumn("masked", mask(strip_text(F.coalesce(F.col(content), F.lit(""))), model.settings.format))
-    r = r.join(F.broadcast(cache), F.col("masked") == F.col("t"), "left").join(F.broadcast(keys), canonical_key(F.col("masked")) == F.col("k"), "left")
+    r = r.join(dimension(cache), F.col("masked") == F.col("t"), "left").join(dimension(keys), canonical_key(F.col("masked")) == F.col("k"), "left")
     r = r.withColumn("event_id", F.coalesce("e1", "e2", F.lit(UNKNOWN_EVENT))).drop("t", "k", "e1", "e2")
-    r = r.join(F.broadcast(names), F.col("event_id") == F.col("e"), "left").drop("e")
+    r = r.join(dimension(names), F.col("event_id") == F.col("e"), "left").drop("e")
     return r.withColumn("event_template", F.coalesce("event_template", F.lit(UNKNOWN_TEMPLATE)))
 
 
