@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,13 +41,27 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete every staged table of this process; call it only when no result built on them is needed any more."""
+def drop_staged(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete the given staged tables (all of this process if None), once no result built on them is needed any more."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+    for p in list(_staged if paths is None else paths):
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+        if p in _staged:
+            _staged.remove(p)
+    if paths is not None:
+        paths.clear()
+
+
+@contextmanager
+def collecting(paths: list[str]) -> Iterator[None]:
+    """Note in paths the tables that are staged meanwhile."""
+    n = len(_staged)
+    try:
+        yield
+    finally:
+        paths += _staged[n:]
 
 
 def dimension(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import dimension, same, stage, word_count
 
 #: About as many documents share one bucket of a source's key space; a bucket is the unit that one task sorts.
-BUCKET_ROWS = 4_000
+BUCKET_ROWS = 1_000
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 SEED = 17

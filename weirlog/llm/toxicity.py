@@ -246,7 +246,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     order = [F.xxhash64(F.lit(5), F.col("doc_id")), F.col("doc_id")]
     picked = lab.where("y = 1").orderBy(*order).limit(sample).unionByName(lab.where("y = 0").orderBy(*order).limit(sample))
     text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = sorted((r["doc_id"], r["y"], r["text"]) for r in text.join(F.broadcast(picked), "doc_id").collect())
+    found = text.join(F.broadcast(picked.distinct()), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # one text an id, however often it comes
+    rows = sorted((r["doc_id"], r["y"], r["text"]) for r in found.collect())
     total = sum(counts.values())
     if not rows or not counts.get(1):
         return Model({}, {}, (0.0,) * len(FEATURES), -4.0)

@@ -40,15 +40,16 @@ def _matched(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
 def _spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
     """Personalised PageRank: (host, rank) with restarts at seeds (host, seed), rank that finds no edge restarts too."""
     out = edges.groupBy("a").agg(F.sum("n").alias("all")).withColumnRenamed("a", "a2")
+    out = stage(out, "urlout")
     steps = stage(edges.join(out, F.col("a") == F.col("a2")).select("a", "b", (F.col("n") / F.col("all")).alias("p")), "urlsteps")
     rank = seeds.select("host", F.col("seed").alias("rank"))
     if steps.limit(1).count() == 0:
         return rank
     for _ in range(rounds):
         sent = steps.join(rank, F.col("a") == F.col("host")).groupBy("b").agg(F.sum(F.col("rank") * F.col("p") * damping).alias("got"))
-        got = sent
-        home = got.agg((F.lit(1.0) - F.coalesce(F.sum("got"), F.lit(0.0))).alias("home"))
-        base = seeds.crossJoin(F.broadcast(home)).select("host", (F.col("seed") * F.col("home")).alias("rank"))
+        got = stage(sent, "urlgot")
+        home = 1.0 - (got.agg(F.sum("got")).first()[0] or 0.0)
+        base = seeds.select("host", (F.col("seed") * home).alias("rank"))
         new = stage(base.unionByName(got.select(F.col("b").alias("host"), F.col("got").alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank")), "urlrank")
         moved = new.select("host", "rank").unionByName(rank.select("host", (-F.col("rank")).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("x")).agg(F.sum(F.abs("x"))).first()[0]
         rank = new
