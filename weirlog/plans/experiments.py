@@ -205,7 +205,7 @@ def ablation(spark: SparkSession, rows_of: dict[str, DataFrame], variants: Itera
     for d, df in rows_of.items():
         for v in variants:
             s = mining.variant(v, d)
-            rows = mining.masked_rows(df, s.format)
+            rows = mining.stage(mining.masked_rows(df, s.format), "masked")
             began = time.perf_counter()
             parsed = mining.stage(mining.transform(mining.fit(rows, s), rows), "parsed")
             r = score_rows(parsed, d, time.perf_counter() - began).withColumn("Variant", F.lit(v))

@@ -71,9 +71,18 @@ def quadrant(dataset: str, cell: str) -> Settings:
     return Settings(resolve(dataset) if first == "T" else "loghub", params(dataset) if second == "T" else UNIFORM, event_key=evaluation_key, lookup="canonical")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: masking costs more than moving a small input once.
+
+    A large input has more partitions than that and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+
+
 def masked_rows(df: DataFrame, format: str, content: str = "Content", order: str = "idx") -> DataFrame:
     """df with idx and masked; contents are stripped, then masked, in one projection."""
-    return df.withColumn("idx", F.col(order).cast("long")).withColumn("masked", mask(strip_text(F.coalesce(F.col(content), F.lit(""))), format))
+    return spread(df).withColumn("idx", F.col(order).cast("long")).withColumn("masked", mask(strip_text(F.coalesce(F.col(content), F.lit(""))), format))
 
 
 @dataclass(frozen=True)
@@ -96,7 +105,7 @@ def fit_items(items: DataFrame, s: Settings, bucketed: bool = True) -> tuple[Dat
     else:
         tok = tok.withColumn("bucket", F.lit("ALL"))
     mined = stage(clustering.mine_clusters(tok, clustering.Mining(s.params, s.similarity, s.fold)), "mined")
-    numbered = stage(clustering.number_clusters(mined), "clusters")
+    numbered = clustering.number_clusters(mined)
     if s.fold == "pattern":
         t = patterns.mine_patterns(tok.join(numbered.select(F.col("idx").alias("i"), "cluster_id"), F.col("idx") == F.col("i")).select("idx", "tokens", "cluster_id"))
     else:
@@ -134,14 +143,14 @@ def transform(model: Model, masked: DataFrame) -> DataFrame:
 def parse(df: DataFrame, dataset: str = "loghub", *, content: str = "Content", order: str = "idx", **changes) -> DataFrame:
     """Mask, fit and transform: df with masked, event_id and event_template."""
     s = settings(dataset, **changes)
-    rows = masked_rows(df, s.format, content, order)
+    rows = stage(masked_rows(df, s.format, content, order), "masked")  # read by fit and transform: mask once
     return transform(fit(rows, s), rows)
 
 
 def sweep(df: DataFrame, dataset: str, thresholds: list[float], truth: str, done: list[float] = (), *, content: str = "Content", order: str = "idx", id_col: str = "LineId") -> DataFrame:
     """Scores by entropy threshold, (threshold, PA, GA, ...); thresholds already done are skipped."""
     base = settings(dataset)
-    rows = masked_rows(df, base.format, content, order)
+    rows = stage(masked_rows(df, base.format, content, order), "masked")
     out = None
     for t in thresholds:
         if t in done:
