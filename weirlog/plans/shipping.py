@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -23,7 +25,9 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
     if sc.applicationId in _done:
         return
-    path = os.path.join(tempfile.mkdtemp(prefix="weirlog-code-"), "weirlog_code.zip")
+    folder_made = tempfile.mkdtemp(prefix="weirlog-code-")
+    atexit.register(shutil.rmtree, folder_made, ignore_errors=True)
+    path = os.path.join(folder_made, "weirlog_code.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in os.walk(_ROOT):
             for n in sorted(names):
