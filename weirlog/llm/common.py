@@ -2,67 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import collecting, drop_staged, shared_dir, stage, stage_path
+
+__all__ = ["collecting", "components", "dimension", "drop_staged", "same", "shared_dir", "stage", "stage_path", "word_count"]
+
 #: Dimension tables of at most this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 10_000
 #: Words are maximal runs of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_fallback: dict[str, str] = {}
-_staged: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = _fallback.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="weirlog-"))
-    return path.rstrip("/")
-
-
-def stage_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark)}/weirlog-{tag}-{uuid.uuid4().hex}"
-    _staged.append(path)
-    return path
-
-
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
-    path = stage_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(spark: SparkSession, paths: list[str] | None = None) -> None:
-    """Delete the given staged tables (all of this process if None), once no result built on them is needed any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in list(_staged if paths is None else paths):
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
-        if p in _staged:
-            _staged.remove(p)
-    if paths is not None:
-        paths.clear()
-
-
-@contextmanager
-def collecting(paths: list[str]) -> Iterator[None]:
-    """Note in paths the tables that are staged meanwhile."""
-    n = len(_staged)
-    try:
-        yield
-    finally:
-        paths += _staged[n:]
-
 
 def dimension(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if it is counted to have at most max_rows rows; df should be staged."""
@@ -90,19 +42,23 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     stays short; the number of rounds grows with the logarithm of the longest chain.
     """
     x, y = F.col(a), F.col(b)
-    e = stage(edges.where(x != y).select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")).distinct(), "cc")
-    mark = None
+    spark, last, mark = edges.sparkSession, [], None
+    with collecting(last):
+        e = stage(edges.where(x != y).select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")).distinct(), "cc")
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first()
         if now[0] == 0 or now == mark:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        mark = now
-        both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
-        least = stage(least, "ccleast")  # else the join below keeps the aggregate's partitions, which Spark cannot split
-        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        large = stage(large, "cclarge")
-        small = stage(large.groupBy(F.col("hi").alias("w")).agg(F.min("lo").alias("m")), "ccsmall")
-        joined = large.join(small, F.col("hi") == F.col("w"))
-        star = joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(small.select(F.col("w").alias("hi"), F.col("m").alias("lo")))
-        e = stage(star.distinct(), "cc")
+        mark, made = now, []
+        with collecting(made):
+            both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+            least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
+            least = stage(least, "ccleast")  # else the join below keeps the aggregate's partitions, which Spark cannot split
+            large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+            large = stage(large, "cclarge")
+            small = stage(large.groupBy(F.col("hi").alias("w")).agg(F.min("lo").alias("m")), "ccsmall")
+            joined = large.join(small, F.col("hi") == F.col("w"))
+            star = joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(small.select(F.col("w").alias("hi"), F.col("m").alias("lo")))
+            e = stage(star.distinct(), "cc")
+        drop_staged(spark, [*last, *made[:-1]])  # only the newest round is needed
+        last = made[-1:]
