@@ -98,3 +98,10 @@ def test_inventory(spark):
     t = spark.createDataFrame([("A", "2"), ("a", "1")], "EventTemplate string, Occurrences string")
     c = audit.occurrence_check(t, 3).first()
     assert (c["occurrences"], c["collisions"], c["complete"]) == (3, 1, True)
+
+
+def test_id_samples(spark):
+    few = metrics.id_samples(table(spark, list("abcde"))).first()
+    assert (few["rows"], few["first_ids"], few["last_ids"]) == (5, ["1", "2", "3"], ["1", "2", "3"])
+    many = metrics.id_samples(table(spark, list("abcdefg"))).first()
+    assert (many["first_ids"], many["last_ids"]) == (["1", "2", "3"], ["5", "6", "7"])

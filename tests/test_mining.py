@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weirlog import config, functions
 from weirlog.config import Params
 from weirlog.operators import buckets, clustering, events, patterns, replay, similarity
 from weirlog.plans import mining
@@ -236,3 +237,17 @@ def test_empty_input(spark):
     df = spark.createDataFrame([], "idx long, Content string")
     assert mining.parse(df, "hdfs").count() == 0
     assert df.select(F.lit(1)).count() == 0
+
+
+def test_lines_and_own_masks(spark):
+    got = mining.parse_lines(spark, ["a 1", "a 2"], "loghub").collect()
+    assert {r["event_template"] for r in got} == {"a <*>"}
+    df = spark.createDataFrame([(0, "Hello")], "idx long, Content string")
+    assert mining.masked_rows(df, F.upper).first()["masked"] == "HELLO"
+    assert set(functions.MASKS) == set(config.formats())
+    assert spark.range(1).select(functions.MASKS["hdfs"](F.lit("blk_1 2"))).first()[0] == "<*> <*>"
+
+
+def test_done_thresholds(spark):
+    rows = [("HDFS", 0.5, 0.9), ("HDFS", 1.0, None), ("BGL", 1.5, 0.1)]
+    assert mining.done_thresholds(spark.createDataFrame(rows, "Dataset string, EntropyThreshold double, FTA double"), "HDFS") == [0.5]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +29,10 @@ def mask(text: Column, rules: str | Sequence[Rule], strip: bool = True) -> Colum
     return strip_text(text) if strip else text
 
 
+#: A masking function of a column for each format.
+MASKS = {name: partial(mask, rules=name) for name in RULES}
+
+
 def tokens(text: Column) -> Column:
     """White-space tokens, none of them empty."""
     return F.filter(F.split(text, _GAP), lambda t: t != "")

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Params
@@ -258,14 +259,12 @@ def mine_clusters(df: DataFrame, mining: Mining) -> DataFrame:
             parts.append(pd.DataFrame({"idx": rows["idx"].iloc[members].to_numpy(), "bucket_first": rows["idx"].iloc[0], "local": k, "log_count": len(members), "template": template}))
         return pd.concat(parts, ignore_index=True)
 
-    grouped = df.select("idx", "tokens", "bucket").groupBy("bucket").applyInPandas(one, "idx long, bucket_first long, local int, log_count long, template string")
-    return grouped
+    schema = "idx long, bucket_first long, local int, log_count long, template string"
+    return df.select("idx", "tokens", "bucket").groupBy("bucket").applyInPandas(one, schema)
 
 
 def number_clusters(mined: DataFrame) -> DataFrame:
     """cluster_id from (bucket_first, local), counted from 1."""
-    from pyspark.sql import Window as W
-
     heads = mined.groupBy("bucket_first", "local").agg(F.first("log_count").alias("n"))
     ids = heads.select(F.col("bucket_first").alias("bf"), F.col("local").alias("lo"), F.row_number().over(W.orderBy("bucket_first", "local")).alias("cluster_id"))
     return mined.join(ids, (F.col("bucket_first") == F.col("bf")) & (F.col("local") == F.col("lo"))).select("idx", "cluster_id", "log_count", "template")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import evaluation_key
@@ -88,8 +89,6 @@ def evaluate(truth: DataFrame, predicted: DataFrame, **columns) -> DataFrame:
 
 def order_report(truth: DataFrame, predicted: DataFrame, id_col: str = "LineId", order_col: str = "idx") -> DataFrame:
     """One row: whether both sides list the same ids in the same order, and whether ids rise as numbers."""
-    from pyspark.sql import Window as W
-
     a = truth.select(F.col(id_col).alias("id"), F.col(order_col).alias("o"))
     b = predicted.select(F.col(id_col).alias("id2"), F.col(order_col).alias("o2"))
     moved = a.join(b, (F.col("id") == F.col("id2")), "full_outer").agg(F.count_if(~F.col("o").eqNullSafe(F.col("o2"))).alias("n"))
@@ -102,3 +101,14 @@ def order_report(truth: DataFrame, predicted: DataFrame, id_col: str = "LineId",
     found = moved.withColumn("what", F.lit("moved")).unionByName(inner.withColumn("what", F.lit("order"))).unionByName(across.withColumn("what", F.lit("order")))
     total = lambda w: F.sum(F.when(F.col("what") == w, F.col("n"))) == 0
     return found.agg(total("moved").alias("order_equal"), total("order").alias("increasing"))
+
+
+def id_samples(df: DataFrame, id_col: str = "LineId", order_col: str = "idx", n: int = 3) -> DataFrame:
+    """One row: the first n and the last n ids in order; all of the first n only when there are at most 2 n rows."""
+    first = df.orderBy(order_col).limit(n).select(F.col(order_col).alias("o"), F.col(id_col).alias("id"), F.lit("first").alias("side"))
+    last = df.orderBy(F.desc(order_col)).limit(n).select(F.col(order_col).alias("o"), F.col(id_col).alias("id"), F.lit("last").alias("side"))
+    rows = df.agg(F.count("*").alias("rows")).select(F.lit(None).cast("long").alias("o"), F.lit(None).cast("string").alias("id"), F.lit("count").alias("side"), "rows")
+    every = first.unionByName(last).withColumns({"o": F.col("o").cast("long"), "id": F.col("id").cast("string"), "rows": F.lit(None).cast("long")}).unionByName(rows)
+    pick = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("o", "id")))), lambda s: s["id"])
+    one = every.agg(F.max("rows").alias("rows"), pick("first").alias("first_ids"), pick("last").alias("last_ids"))
+    return one.select("rows", "first_ids", F.when(F.col("rows") > 2 * n, F.col("last_ids")).otherwise(F.col("first_ids")).alias("last_ids"))

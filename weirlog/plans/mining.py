@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import UNIFORM, Params, params, resolve
@@ -80,9 +80,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
 
 
-def masked_rows(df: DataFrame, format: str, content: str = "Content", order: str = "idx") -> DataFrame:
-    """df with idx and masked; contents are stripped, then masked, in one projection."""
-    return spread(df).withColumn("idx", F.col(order).cast("long")).withColumn("masked", mask(strip_text(F.coalesce(F.col(content), F.lit(""))), format))
+def masked_rows(df: DataFrame, format: str | Callable[[Column], Column], content: str = "Content", order: str = "idx") -> DataFrame:
+    """df with idx and masked; contents are stripped, then masked, in one projection.
+
+    format is a format's name or a masking function of one's own, which gives one value for each row by construction.
+    """
+    text = strip_text(F.coalesce(F.col(content), F.lit("")))
+    return spread(df).withColumn("idx", F.col(order).cast("long")).withColumn("masked", format(text) if callable(format) else mask(text, format))
 
 
 @dataclass(frozen=True)
@@ -147,6 +151,17 @@ def parse(df: DataFrame, dataset: str = "loghub", *, content: str = "Content", o
     return transform(fit(rows, s), rows)
 
 
+def parse_lines(spark: SparkSession, lines: Iterable[str], dataset: str = "loghub", **changes) -> DataFrame:
+    """Parse messages in memory: (idx, Content, masked, event_id, event_template)."""
+    return parse(spark.createDataFrame(list(enumerate(lines)), "idx long, Content string"), dataset, **changes)
+
+
+def done_thresholds(results: DataFrame, dataset: str) -> list[float]:
+    """Thresholds of a sweep's results that count as done: those with an FTA."""
+    done = results.where((F.col("Dataset") == dataset) & F.col("FTA").isNotNull()).select(F.col("EntropyThreshold").cast("double").alias("t")).distinct()
+    return sorted(r["t"] for r in done.collect())
+
+
 def sweep(df: DataFrame, dataset: str, thresholds: list[float], truth: str, done: list[float] = (), *, content: str = "Content", order: str = "idx", id_col: str = "LineId") -> DataFrame:
     """Scores by entropy threshold, (threshold, PA, GA, ...); thresholds already done are skipped."""
     base = settings(dataset)

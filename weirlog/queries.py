@@ -142,6 +142,7 @@ _TRAIN_SQL = _TOP_SQL.format(k=200) + r", tr AS (SELECT idx, 'P0:user_P2:did' AS
 
 
 def _training(spark: SparkSession, sf: str) -> DataFrame:
+    """Training strings: the most frequent ones, counted over the whole table, are what is clustered."""
     items = buckets.items(buckets.top_strings(_lines(spark, sf), 200))
     return buckets.with_bucket(items, [0, 2])
 
@@ -285,10 +286,10 @@ def eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.evaluate(_truth(spark, sf), _predicted(spark, sf))
 
 
-@query("SELECT 'missing' AS side, event_id::VARCHAR AS id FROM events WHERE event_id % 97 = 0 AND event_id % 89 <> 0 UNION ALL SELECT 'extra', event_id::VARCHAR FROM events WHERE event_id % 89 = 0 AND event_id % 97 <> 0")
+@query("SELECT 'missing' AS side, event_id::VARCHAR AS id FROM events WHERE event_type = 'click' UNION ALL SELECT 'extra', event_id::VARCHAR FROM events WHERE event_type = 'purchase'")
 def align_missing_extra(spark: SparkSession, sf: str) -> DataFrame:
-    t, p = _truth(spark, sf), _predicted(spark, sf)
-    return metrics.difference(t.where("idx % 89 <> 0 or idx % 97 = 0 and idx % 89 <> 0"), p.where("idx % 97 <> 0 or idx % 89 = 0 and idx % 97 <> 0"))
+    """The truth lacks one type of event, the prediction another."""
+    return metrics.difference(_truth(spark, sf).where("EventTemplate <> 'did purchase'"), _predicted(spark, sf).where("not Content like '% did click %'"))
 
 
 @query("SELECT true AS order_equal, true AS increasing")
@@ -296,6 +297,13 @@ def line_order(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.order_report(_truth(spark, sf), _predicted(spark, sf))
 
 
+@query("SELECT count(*) AS rows, (SELECT string_agg(i, ',' ORDER BY o) FROM (SELECT event_id AS o, event_id::VARCHAR AS i FROM events ORDER BY o LIMIT 3)) AS first_ids, (SELECT string_agg(i, ',' ORDER BY o) FROM (SELECT event_id AS o, event_id::VARCHAR AS i FROM events ORDER BY o DESC LIMIT 3)) AS last_ids FROM events")
+def id_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """First and last ids: a report, so a limit is the feature."""
+    r = metrics.id_samples(_truth(spark, sf))
+    return r.select("rows", F.array_join("first_ids", ",").alias("first_ids"), F.array_join("last_ids", ",").alias("last_ids"))
+
+
 _ERR_SQL = f"{_LINES_SQL}, j AS (SELECT idx, line, {_TRUTH} AS gt_template, {_PRED} AS pred_template, {_KEY_SQL.format(x=_TRUTH)} = {_KEY_SQL.format(x=_PRED)} AS correct FROM m)"
 
 
@@ -335,6 +343,11 @@ def mean_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return m.select(*[F.round(c, 9).alias(c) for c in ("PA", "GA", "FGA", "FTA", "EPS")], "with_fta", "runs")
 
 
+@query(f'WITH {_RUNS_SQL} SELECT "Dataset", "Variant", round(CASE WHEN "PA" > 0 THEN "EPS" / "PA" ELSE 0 END, 2) AS eps FROM r')
+def throughput(spark: SparkSession, sf: str) -> DataFrame:
+    return _runs(spark, sf).select("Dataset", "Variant", analysis.throughput(F.col("EPS"), F.col("PA")).alias("eps"))
+
+
 @query(f"WITH {_RUNS_SQL}, j AS (SELECT a.FGA AS x, b.FGA AS y, a.EPS AS u, b.EPS AS v FROM r a JOIN r b ON a.Dataset = b.Dataset WHERE a.Variant = 'V0' AND b.Variant = 'V2') SELECT count(*) AS both, count(*) FILTER (x > y) AS \"FGA_wins\", round(avg(x - y), 9) AS \"FGA_gain\", count(*) FILTER (u > v) AS \"EPS_wins\", round(avg(u - v), 9) AS \"EPS_gain\" FROM j")
 def compare_variants(spark: SparkSession, sf: str) -> DataFrame:
     r = _runs(spark, sf)
