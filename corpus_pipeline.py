@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirlog.llm import minhash, mixing, packing, suffixes, toxicity
-from weirlog.llm.common import stage
+from weirlog.llm.common import collecting, drop_staged, shared_dir, stage
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []
+
+
+def _tidy(step: Stage) -> Stage:
+    """Delete what the stage before has staged: its result is written and read again by now."""
+
+    @wraps(step)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_staged(spark, _left)
+        with collecting(_left):
+            return step(spark, docs, sf_dir)
+
+    return run_step
 
 
+@_tidy
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents under the toxicity threshold. The model is learnt from the labelled documents among docs."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model)
 
 
+@_tidy
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, the one with the smallest id; documents without an id stay."""
     kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("weirlog_id")).distinct()
@@ -27,6 +48,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return out.unionByName(docs.where("doc_id is null"))
 
 
+@_tidy
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that came earlier; a document of which nothing is left goes.
 
@@ -39,6 +61,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return r.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
+@_tidy
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents as often as the mixture takes them (0 to 3 times), spread so that sources and copies mix."""
     m = mixing.mix_sources(docs, cut=False, carry=True).where("size > 0 and taken > 0")
@@ -46,6 +69,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return m.repartition(F.xxhash64("doc_id", "size", "copy")).select("row.*")
 
 
+@_tidy
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their ids, sequence by sequence."""
     return packing.pack_documents(docs)
@@ -65,6 +89,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written as Parquet and read again as the next one's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    base = f"{shared_dir(spark)}/corpus-{uuid4().hex}"
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        out = step(spark, docs, sf_dir)
+        out.write.parquet(f"{base}/{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{base}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
