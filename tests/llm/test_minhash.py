@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from weirlog.llm import minhash
 from weirlog.llm.shingles import shingles_of
@@ -66,6 +67,8 @@ def test_against_brute_force(spark, documents, clash, monkeypatch):
     rows += [(2000 + k, "one two three four five six") for k in range(40)]
     rows += [(3000, None), (3001, ""), (3002, " \n"), (3003, "a b"), (3004, "a  b"), (3005, "a c"), (None, "one two three four five six"), (2000, "one two three four five six"), (3006, " ".join(text(r, 40_000)))]
     rows += [(3007, "\n".join(["same line of words here"] * 30)), (3008, "\n".join(["same line of words here"] * 31))]
+    other = [f"far{k} " * 7 for k in range(3)] + [" ".join(text(r, 100))]
+    rows += [(4000, other[3]), (4001, other[3] + " tail"), (4001, "quite another text than the first one of this id is"), (4002, "quite another text than the first one of this id is now")]
     got = minhash.near_duplicates(clash(documents(rows)).repartition(5)).collect()
     assert sorted(((x["doc_id"], x["class_id"]) for x in got), key=repr) == classes(rows)
     assert all(x["kept"] == (x["doc_id"] is None or x["doc_id"] == x["class_id"]) for x in got)
@@ -87,3 +90,23 @@ def test_signatures_estimate_probability_jaccard():
 
 def test_empty_table(spark, documents):
     assert minhash.near_duplicates(documents([])).count() == 0
+
+
+@pytest.mark.parametrize("direct", [2, 100])
+def test_large_groups(spark, documents, monkeypatch, direct):
+    """Two near-copy groups that share bands without being alike, over many blocks, and stragglers."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "DIRECT", direct)
+    r = random.Random(5)
+    base = text(r, 140)
+    other = base[:100] + text(r, 40)  # about 0.55 like base: in one group by bands, not linked
+    rows = []
+    for k in range(90):
+        w = list(base if k % 3 else other)
+        for _ in range(r.choice((0, 1, 2, 3))):
+            w[r.randrange(len(w))] = f"e{r.randint(0, 9)}"
+        rows.append((k, " ".join(w)))
+    for k in range(20):  # on the way between the two
+        rows.append((500 + k, " ".join(base[: 100 + 2 * k] + other[100 + 2 * k :])))
+    got = minhash.near_duplicates(documents(rows).repartition(4)).collect()
+    assert sorted(((x["doc_id"], x["class_id"]) for x in got), key=repr) == classes(rows)

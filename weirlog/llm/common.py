@@ -11,6 +11,8 @@ __all__ = ["collecting", "components", "dimension", "drop_staged", "same", "shar
 
 #: Dimension tables of at most this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 10_000
+#: Tables of more edges have their minima staged, so that joins on a hub can be split.
+SPLIT_ROWS = 100_000
 #: Words are maximal runs of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -53,10 +55,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         with collecting(made):
             both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
             least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
-            least = stage(least, "ccleast")  # else the join below keeps the aggregate's partitions, which Spark cannot split
+            if now[0] > SPLIT_ROWS:  # else the join below keeps the aggregate's partitions, which Spark cannot split
+                least = stage(least, "ccleast")
             large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
             large = stage(large, "cclarge")
-            small = stage(large.groupBy(F.col("hi").alias("w")).agg(F.min("lo").alias("m")), "ccsmall")
+            small = large.groupBy(F.col("hi").alias("w")).agg(F.min("lo").alias("m"))
+            if now[0] > SPLIT_ROWS:
+                small = stage(small, "ccsmall")
             joined = large.join(small, F.col("hi") == F.col("w"))
             star = joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(small.select(F.col("w").alias("hi"), F.col("m").alias("lo")))
             e = stage(star.distinct(), "cc")

@@ -19,8 +19,12 @@ BANDS, ROWS = 21, 6
 SLOTS = BANDS * ROWS
 #: Pairs whose estimate is under the similarity by this much, four standard deviations at 0.8, are not verified.
 SLACK = 0.14
-#: Documents of one block; a larger group is compared block by block, each pair of blocks in its own unit of work.
+#: Documents of one block; a larger group is compared block by block.
 BLOCK = 512
+#: Groups of more blocks are joined in rounds first, as comparing all their blocks grows with the square of their number.
+DIRECT = 8
+#: Documents of each component that meet others' in a round, and rounds at most.
+AMBASSADORS, ROUNDS = 4, 8
 #: Bytes of text signed at a time.
 CHUNK = 1 << 21
 
@@ -74,9 +78,9 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "k1", "k2", "sig", "bands"]
+    names = ["doc_id", "tag", "k1", "k2", "sig", "bands"]
 
-    def out(ids: list, texts: list[bytes]) -> pa.RecordBatch:
+    def out(ids: list, tags: list, texts: list[bytes]) -> pa.RecordBatch:
         h, owner, times, one, two = shingles_of(texts, WORDS)
         sig = signatures(h, owner, weights_of(times), len(texts))
         full = np.bincount(owner, minlength=len(texts)) > 0
@@ -86,25 +90,26 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             band = mix(band * M64(0x9E3779B97F4A7C15) + parts[:, :, r] + M64(r + 1))
         band = mix(band + np.arange(1, BANDS + 1, dtype=M64)).view(np.int64)
         cols = [
-            pa.array(ids, pa.int64()), pa.array(one.view(np.int64), mask=~full), pa.array(two.view(np.int64), mask=~full),
+            pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(one.view(np.int64), mask=~full), pa.array(two.view(np.int64), mask=~full),
             pa.array([s.tobytes() if f else None for s, f in zip(sig, full, strict=True)], pa.binary()),
             pa.array([list(b) if f else None for b, f in zip(band.tolist(), full, strict=True)], pa.list_(pa.int64())),
         ]
         return pa.record_batch(cols, names=names)
 
-    ids: list = []
+    ids, tags = [], []
     texts: list[bytes] = []
     size = 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for i, g, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             ids.append(i)
+            tags.append(g)
             texts.append((t or "").encode())
             size += len(texts[-1])
             if size >= CHUNK:
-                yield out(ids, texts)
-                ids, texts, size = [], [], 0
+                yield out(ids, tags, texts)
+                ids, tags, texts, size = [], [], [], 0
     if ids:
-        yield out(ids, texts)
+        yield out(ids, tags, texts)
 
 
 class _Forest:
@@ -119,9 +124,17 @@ class _Forest:
 
 
 def _verify_unit(rows: list[tuple], threshold: float) -> list[tuple[int, int, float]]:
-    """Links that join the unit's documents: pairs by falling estimate, each verified unless already joined."""
-    rows = sorted({r[0]: r for r in rows}.values())
-    sig = np.stack([np.frombuffer(r[2], dtype=np.uint32) for r in rows])
+    """Links that join the unit's documents: pairs by falling estimate, each verified unless already joined.
+
+    rows are (rep, block, comp, sig, text); rows of one comp or rep count as joined. Two blocks are compared with each
+    other, one with itself.
+    """
+    rows = sorted(set(rows), key=lambda r: (r[0], r[1], r[4]))
+    forest = _Forest(len(rows))
+    seen: dict[int, int] = {}
+    for k, r in enumerate(rows):
+        forest.up[k] = seen.setdefault(r[2], k)
+    sig = np.stack([np.frombuffer(r[3], dtype=np.uint32) for r in rows])
     block = np.array([r[1] for r in rows])
     left = np.flatnonzero(block == block.min())
     right = np.flatnonzero(block == block.max())
@@ -134,12 +147,12 @@ def _verify_unit(rows: list[tuple], threshold: float) -> list[tuple[int, int, fl
     ok = i < j if block.min() == block.max() else np.ones(len(i), dtype=bool)
     i, j, guess = i[ok], j[ok], guess[ok]
     order = np.argsort(-guess, kind="stable")
-    forest, found = _Forest(len(rows)), []
+    found = []
     sets: dict[int, tuple] = {}
 
     def shingled(q: int) -> tuple:
         if q not in sets:
-            h, _, times, _, _ = shingles_of([rows[q][3].encode()], WORDS)
+            h, _, times, _, _ = shingles_of([rows[q][4].encode()], WORDS)
             sets[q] = (h, weights_of(times))
         return sets[q]
 
@@ -162,51 +175,118 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         return pa.record_batch([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
 
     for batch in batches:
-        for g, i, j, rep, block, sig, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if unit != (g, i, j):
+        for root, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if unit != (root, i, j):
                 if len(rows) > 1:
                     yield out()
-                unit, rows = (g, i, j), []
-            rows.append((rep, block, sig, text))
+                unit, rows = (root, i, j), []
+            rows.append(tuple(row))
     if len(rows) > 1:
         yield out()
 
 
+def _links_of(units: DataFrame, threshold: float) -> DataFrame:
+    """Verified links of units (root, i, j) of rows (rep, block, comp, sig, text)."""
+    u = units.select("root", "i", "j", "rep", "block", "comp", "sig", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return stage(u.mapInArrow(lambda it: _verify(it, threshold), "a long, b long, similarity double"), "mhlink")
+
+
+def _with_component(rows: DataFrame, links: DataFrame) -> DataFrame:
+    joined = components(links, "a", "b").select(F.col("node").alias("n"), F.col("root").alias("c"))
+    return stage(rows.join(joined, F.col("rep") == F.col("n"), "left").select("rep", "root", F.coalesce("c", "rep").alias("comp")), "mhcomp")
+
+
+def _join_groups(full: DataFrame, threshold: float) -> DataFrame:
+    """Links that join each group's linked documents; full is (root, rep, sig, text), staged.
+
+    A group of up to DIRECT blocks is compared whole, block by block. A larger one is compared within blocks first; then, round by round, a few
+    ambassadors of each component so far meet in new blocks, while that joins more; at last all documents of different
+    components that remain are compared, block by block. A component never meets itself again, so a large group of
+    near copies, which the first rounds join, is not compared pair by pair.
+    """
+    size = stage(full.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")), "mhsize")
+    sized = full.join(size, "root").withColumns({"block": F.pmod(F.xxhash64("rep"), F.col("blocks")), "comp": F.col("rep")})
+    others = F.when(F.col("blocks") <= DIRECT, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.col("block")))
+    met = sized.withColumn("other", F.explode(others))
+    links = _links_of(met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}), threshold)
+    large = size.where(F.col("blocks") > DIRECT).select("root")
+    if not large.limit(1).count():
+        return links
+    ids = stage(full.select("rep", "root").distinct().join(large, "root", "left_semi"), "mhlarge")
+    left = None
+    for turn in range(ROUNDS):
+        of = _with_component(ids, links)
+        many = of.groupBy("root").agg(F.count_distinct("comp").alias("k")).where("k > 1")
+        total = many.agg(F.sum("k")).first()[0]
+        if not total:
+            return links
+        if left is not None and total > 0.9 * left:
+            break
+        left = total
+        picks = [F.min_by("rep", F.xxhash64(F.lit(turn * AMBASSADORS + k), "rep")) for k in range(AMBASSADORS)]
+        envoys = of.join(many.select("root"), "root", "left_semi").groupBy("root", "comp").agg(F.array_distinct(F.array(*picks)).alias("reps"))
+        envoys = stage(envoys.select("root", "comp", F.explode("reps").alias("rep")), "mhenvoy")
+        blocks = envoys.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+        placed = envoys.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64(F.lit(turn), "comp"), F.col("blocks")))
+        rows = placed.join(full.drop("root"), "rep").withColumns({"i": F.col("block"), "j": F.col("block")})
+        links = links.unionByName(_links_of(rows, threshold))
+    return links.unionByName(_links_of(_different(of.join(many.select("root"), "root", "left_semi"), full), threshold))
+
+
+def _different(of: DataFrame, full: DataFrame) -> DataFrame:
+    """Units of all pairs of blocks that hold different components; of is (rep, root, comp).
+
+    A component of half a block or more has blocks of its own, smaller ones share blocks.
+    """
+    n = of.groupBy("root", "comp").agg(F.count("*").alias("n"))
+    small = n.where(F.col("n") < BLOCK / 2).groupBy(F.col("root").alias("r")).agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("pools"))
+    n = stage(n.join(small, F.col("root") == F.col("r"), "left").drop("r"), "mhparts")
+    n = n.select(F.col("root").alias("r"), F.col("comp").alias("c"), "n", "pools")
+    rows = of.join(n, (F.col("root") == F.col("r")) & (F.col("comp") == F.col("c"))).drop("r", "c")
+    own = F.when(F.col("n") >= BLOCK / 2, F.col("comp"))
+    part = F.when(own.isNotNull(), F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))).otherwise(F.pmod(F.xxhash64("comp"), F.col("pools")))
+    rows = stage(rows.select("rep", "root", "comp", own.alias("own"), F.concat_ws(":", F.coalesce(own.cast("string"), F.lit("pool")), part.cast("string")).alias("bid")), "mhblocks")
+    b = rows.select("root", "own", "bid").distinct()
+    x, y = b.select("root", F.col("bid").alias("i"), F.col("own").alias("oi")), b.select(F.col("root").alias("r"), F.col("bid").alias("j"), F.col("own").alias("oj"))
+    pairs = x.join(y, (F.col("root") == F.col("r")) & (F.col("i") <= F.col("j")) & (F.col("oi").isNull() | F.col("oj").isNull() | (F.col("oi") != F.col("oj"))))
+    pairs = stage(pairs.select(F.col("r"), "i", "j"), "mhpairs")
+    side = lambda end, number: rows.join(pairs, (F.col("root") == F.col("r")) & (F.col("bid") == F.col(end))).withColumn("block", F.lit(number).cast("long"))
+    units = side("i", 0).unionByName(side("j", 1).where("i <> j"))
+    return units.join(full.drop("root"), "rep")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """Classes of near-duplicate documents: probability Jaccard of weighted five-word shingles of at least `threshold`.
 
     1. Each partition signs its texts. 2. Rows with equal word sequences become one class, named by its smallest id, by
     a hash aggregate. 3. Band buckets tie representatives to the bucket's smallest; connected ties make groups.
-    4. Every pair within a group is estimated from signatures; by falling estimate, pairs not yet joined are verified on
-    the exact shingles. A group over BLOCK documents is compared in pairs of blocks, each a unit of its own, so no task
-    holds a group and no pairs are emitted but the verified links that join classes. 5. Linked classes are connected.
+    4. Within a group, pairs are estimated from signatures; by falling estimate, those not yet joined are verified on
+    the exact shingles. Units of work hold two blocks at most, so no task holds a group, and no pairs are emitted but the
+    verified links that join classes (see _join_groups). 5. Linked classes are connected.
 
     Null, empty and blank texts have no shingles and join nothing; a text under five words has one shingle. A null id
-    is in no class but its own (class_id null, kept). Rows that repeat an id are one document; each gets its row.
+    is in no class but its own (class_id null, kept). Rows that repeat an id are one document, alike to what any of its texts is; each gets its row.
     Empty table: no rows. Other columns are not read. Returns (doc_id, class_id, copy_id, kept): class_id is the
     smallest id reachable, copy_id the smallest with the same words, kept whether the row's id is its class.
     """
     ship(docs.sparkSession)
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stage(text.mapInArrow(_sign, "doc_id long, k1 long, k2 long, sig binary, bands array<long>"), "mhsig")
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
+    signed = stage(text.mapInArrow(_sign, "doc_id long, tag long, k1 long, k2 long, sig binary, bands array<long>"), "mhsig")
     copies = signed.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = stage(copies, "mhcopies")  # so the join below shuffles both sides, and Spark can split a large class of copies
     keyed = signed.select("doc_id", "k1", "k2").join(copies, ["k1", "k2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("copy_id"))
     keyed = stage(keyed, "mhcopy")
     own = keyed.where("doc_id = copy_id").select("doc_id").distinct()
-    reps = signed.where("sig is not null").join(own, "doc_id").select(F.col("doc_id").alias("rep"), "sig", "bands")
+    reps = signed.where("sig is not null").join(own, "doc_id").select(F.col("doc_id").alias("rep"), "tag", "sig", "bands").dropDuplicates(["rep", "tag"])
     bands = reps.select("rep", F.explode("bands").alias("band"))
     least = bands.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("most")).where("lead < most").select("band", "lead")
     ties = bands.join(least, "band").where("rep <> lead").select("rep", "lead").distinct()
     group = components(ties, "rep", "lead")
-    group = stage(group.unionByName(group.select(F.col("root").alias("node"), "root").distinct()), "mhgroup")
-    size = group.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    member = group.join(size, "root").select(F.col("node").alias("rep"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
-    full = member.join(reps.select("rep", "sig"), "rep").join(text.where("text is not null").withColumnRenamed("doc_id", "rep"), "rep")
-    pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = pairs.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "block", "sig", "text")
-    units = units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = stage(units.mapInArrow(lambda it: _verify(it, threshold), "a long, b long, similarity double"), "mhlink")
+    group = stage(group.unionByName(group.select(F.col("root").alias("node"), "root").distinct()), "mhgroup").withColumnRenamed("node", "rep")
+    bodies = text.where("text is not null").select(F.col("doc_id").alias("rep"), "tag", "text")
+    full = group.join(reps.select("rep", "tag", "sig"), "rep").join(bodies, ["rep", "tag"]).select("root", "rep", "sig", "text")
+    full = stage(full, "mhfull")
+    links = _join_groups(full, threshold)
     joined = components(links, "a", "b")
     out = keyed.join(joined.withColumnRenamed("node", "copy_id"), "copy_id", "left")
     return out.select("doc_id", F.coalesce("root", "copy_id").alias("class_id"), "copy_id", F.coalesce(F.col("doc_id") == F.coalesce("root", "copy_id"), F.lit(True)).alias("kept"))
