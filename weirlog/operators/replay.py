@@ -33,34 +33,35 @@ def nearest_templates(strings: DataFrame, events: DataFrame, *, band: int = SIZE
     return strings.select("masked").join(best, "masked", "left").select("masked", F.coalesce("first", "top", F.lit(unknown)).alias("event_id"))
 
 
-def replay(rows: DataFrame, trained: DataFrame, events: DataFrame, **options) -> DataFrame:
+def replay(rows: DataFrame, trained: DataFrame, events: DataFrame, *, bound: int | None = None, **options) -> DataFrame:
     """rows (idx, masked, ...) with event_id, event_template and source (exact or nearest).
 
     trained (masked, event_id) is the model's cache, bounded by its training limit and broadcast behind a check, so rows that it knows
-    are not shuffled, however many share a string. The others are resolved once per different string.
+    are not shuffled, however many share a string. The others are resolved once per different string. bound: how many
+    rows trained has at most, where that is known; else they are counted.
     """
-    known = rows.join(dimension(trained.select(F.col("masked").alias("t"), "event_id")), F.col("masked") == F.col("t"), "left").drop("t")
+    known = rows.join(dimension(trained.select(F.col("masked").alias("t"), "event_id"), bound=bound), F.col("masked") == F.col("t"), "left").drop("t")
     hits, misses = known.where("event_id is not null").withColumn("source", F.lit("exact")), known.where("event_id is null").drop("event_id")
     found = nearest_templates(misses.select("masked").distinct(), events, **options).withColumnRenamed("masked", "t")
     rest = misses.join(found, F.col("masked") == F.col("t")).drop("t").withColumn("source", F.lit("nearest"))
-    return with_template(hits.unionByName(rest), events)
+    return with_template(hits.unionByName(rest), events, bound=bound)
 
 
-def with_template(rows: DataFrame, events: DataFrame, unknown: str = UNKNOWN_TEMPLATE) -> DataFrame:
-    names = dimension(events.select(F.col("event_id").alias("e"), "event_template").distinct())
+def with_template(rows: DataFrame, events: DataFrame, unknown: str = UNKNOWN_TEMPLATE, bound: int | None = None) -> DataFrame:
+    names = dimension(events.select(F.col("event_id").alias("e"), "event_template").distinct(), bound=bound)
     return rows.join(names, F.col("event_id") == F.col("e"), "left").drop("e").withColumn("event_template", F.coalesce("event_template", F.lit(unknown)))
 
 
-def replay_canonical(rows: DataFrame, trained: DataFrame, events: DataFrame, *, enough: float = GOOD_ENOUGH, **options) -> DataFrame:
+def replay_canonical(rows: DataFrame, trained: DataFrame, events: DataFrame, *, enough: float = GOOD_ENOUGH, bound: int | None = None, **options) -> DataFrame:
     """As replay, with a second look at canonical keys: source is exact, canonical, memo or nearest.
 
     trained (masked, event_id, cluster_id): a key of trained strings stands for the one of the lowest cluster. Of the
     rest, the first row of each key (by idx) is resolved by similarity and all its key's later rows take its event.
     """
-    cache = dimension(trained.select(F.col("masked").alias("t"), F.col("event_id").alias("e1")))
+    cache = dimension(trained.select(F.col("masked").alias("t"), F.col("event_id").alias("e1")), bound=bound)
     keys = trained.select(canonical_key(F.col("masked")).alias("k"), "event_id", "cluster_id").groupBy("k").agg(F.min_by("event_id", "cluster_id").alias("e2"))
     r = rows.join(cache, F.col("masked") == F.col("t"), "left").drop("t").withColumn("canonical", canonical_key(F.col("masked")))
-    r = r.join(dimension(keys), F.col("canonical") == F.col("k"), "left").drop("k")
+    r = r.join(dimension(keys, bound=bound), F.col("canonical") == F.col("k"), "left").drop("k")
     done = r.where("e1 is not null or e2 is not null").withColumns({"event_id": F.coalesce("e1", "e2"), "source": F.when(F.col("e1").isNotNull(), "exact").otherwise("canonical")})
     open_ = r.where("e1 is null and e2 is null")
     first = open_.groupBy("canonical").agg(F.min("idx").alias("first_idx"), F.min_by("masked", "idx").alias("first_masked"))
@@ -69,7 +70,7 @@ def replay_canonical(rows: DataFrame, trained: DataFrame, events: DataFrame, *,
     rest = open_.join(named, F.col("canonical") == F.col("k")).drop("k")
     rest = rest.withColumn("source", F.when(F.col("idx") == F.col("first_idx"), "nearest").otherwise("memo")).drop("first_idx")
     out = done.unionByName(rest.select(*done.columns)).drop("e1", "e2", "canonical")
-    return with_template(out, events)
+    return with_template(out, events, bound=bound)
 
 
 def replay_counters(replayed: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def replay_counters(replayed: DataFrame) -> DataFrame:
     return replayed.agg(F.count("*").alias("rows"), (F.count("*") - near).alias("cache_hits"), near.alias("fallbacks"))
 
 
-def prefix_matches(strings: DataFrame, trained: DataFrame) -> DataFrame:
+def prefix_matches(strings: DataFrame, trained: DataFrame, bound: int | None = None) -> DataFrame:
     """(masked, event_id, matched, n): the longest trained token sequence that begins each string, if it covers half of it.
 
     Every prefix of a string is looked up in the trained sequences by an equi-join; of equal sequences the last
@@ -90,15 +91,15 @@ def prefix_matches(strings: DataFrame, trained: DataFrame) -> DataFrame:
     n = F.size("seq")
     p = s.where(n > 0).select("masked", n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("matched"), "seq")
     p = p.select("masked", "n", "matched", F.array_join(F.slice("seq", 1, F.col("matched")), " ").alias("prefix"))
-    best = p.join(dimension(t), "prefix").where(F.col("matched") >= 0.5 * F.col("n")).groupBy("masked").agg(F.max_by("event_id", "matched").alias("event_id"), F.max("matched").alias("matched"))
+    best = p.join(dimension(t, bound=bound), "prefix").where(F.col("matched") >= 0.5 * F.col("n")).groupBy("masked").agg(F.max_by("event_id", "matched").alias("event_id"), F.max("matched").alias("matched"))
     out = s.select(F.col("masked").alias("m"), F.size("seq").alias("n"))
     return out.join(best, F.col("m") == F.col("masked"), "left").select(F.col("m").alias("masked"), "event_id", F.coalesce("matched", F.lit(0)).alias("matched"), "n")
 
 
-def replay_prefix(rows: DataFrame, trained: DataFrame, events: DataFrame, **options) -> DataFrame:
+def replay_prefix(rows: DataFrame, trained: DataFrame, events: DataFrame, *, bound: int | None = None, **options) -> DataFrame:
     """rows with event_id, event_template and source (prefix or nearest), resolved once per different string."""
     strings = rows.select("masked").distinct()
-    hit = prefix_matches(strings, trained)
+    hit = prefix_matches(strings, trained, bound)
     near = nearest_templates(hit.where("event_id is null").select("masked"), events, **options)
     found = hit.where("event_id is not null").select("masked", "event_id", F.lit("prefix").alias("source")).unionByName(near.withColumn("source", F.lit("nearest")))
-    return with_template(rows.join(found.withColumnRenamed("masked", "t"), F.col("masked") == F.col("t")).drop("t"), events)
+    return with_template(rows.join(found.withColumnRenamed("masked", "t"), F.col("masked") == F.col("t")).drop("t"), events, bound=bound)

@@ -98,6 +98,8 @@ class Model:
     strings: DataFrame
     events: DataFrame
     full: bool
+    #: Rows that strings and events have at most.
+    bound: int
 
 
 def fit_items(items: DataFrame, s: Settings, bucketed: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -128,7 +130,7 @@ def fit(masked: DataFrame, s: Settings, *, full_parse_rows: int = FULL_PARSE_ROW
     items = rows if full else buckets.top_strings(rows, top).select("idx", "masked")
     assigned, ev = fit_items(items, s, bucketed=full or s.bucket_training)
     strings = assigned.groupBy("masked").agg(F.max_by("event_id", "cluster_id").alias("event_id"), F.max("cluster_id").alias("cluster_id"))
-    return Model(s, assigned, strings, ev, full)
+    return Model(s, assigned, strings, ev, full, full_parse_rows if full else top)
 
 
 def transform(model: Model, masked: DataFrame) -> DataFrame:
@@ -136,12 +138,12 @@ def transform(model: Model, masked: DataFrame) -> DataFrame:
     if model.full and model.settings.lookup != "canonical":
         own = model.assigned.select(F.col("idx").alias("i"), "event_id")
         r = masked.join(own, F.col("idx") == F.col("i")).drop("i").withColumn("source", F.lit("cluster"))
-        return replays.with_template(r, model.events)
+        return replays.with_template(r, model.events, bound=model.bound)
     if model.settings.lookup == "prefix":
-        return replays.replay_prefix(masked, model.strings, model.events)
+        return replays.replay_prefix(masked, model.strings, model.events, bound=model.bound)
     if model.settings.lookup == "canonical":
-        return replays.replay_canonical(masked, model.strings, model.events)
-    return replays.replay(masked, model.strings, model.events)
+        return replays.replay_canonical(masked, model.strings, model.events, bound=model.bound)
+    return replays.replay(masked, model.strings, model.events, bound=model.bound)
 
 
 def parse(df: DataFrame, dataset: str = "loghub", *, content: str = "Content", order: str = "idx", **changes) -> DataFrame:
