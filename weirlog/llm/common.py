@@ -12,7 +12,7 @@ __all__ = ["collecting", "components", "dimension", "drop_staged", "same", "shar
 #: Dimension tables of at most this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 10_000
 #: Tables of more edges have their minima staged, so that joins on a hub can be split.
-SPLIT_ROWS = 100_000
+SPLIT_ROWS = 10_000
 #: Words are maximal runs of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
