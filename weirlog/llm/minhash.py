@@ -25,8 +25,8 @@ BLOCK = 512
 DIRECT = 8
 #: Documents of each component that meet others' in a round, and rounds at most.
 AMBASSADORS, ROUNDS = 4, 8
-#: Bytes of text signed at a time.
-CHUNK = 1 << 21
+#: Bytes of text, and documents, signed at a time.
+CHUNK, CHUNK_DOCS = 1 << 21, 2_000
 
 
 def signatures(h: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
@@ -105,7 +105,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tags.append(g)
             texts.append((t or "").encode())
             size += len(texts[-1])
-            if size >= CHUNK:
+            if size >= CHUNK or len(ids) >= CHUNK_DOCS:
                 yield out(ids, tags, texts)
                 ids, tags, texts, size = [], [], [], 0
     if ids:
