@@ -1,4 +1,5 @@
 import json
+import time
 
 from weirlog.operators import audit
 from weirlog.plans import mining
@@ -70,10 +71,13 @@ def test_stream(spark, tmp_path):
     lines = spark.readStream.schema("Content string").json(str(tmp_path / "in"))
     replayed = replay_stream(lines, model)
     q = replayed.writeStream.format("memory").queryName("weirlog_replay").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     got = {r["Content"]: r["event_id"] for r in spark.table("weirlog_replay").collect()}
     assert got["who knows 5"] == "E99"
     assert got["open file 77"] != "E99"
-    q = dedupe_unseen(replay_stream(lines, model)).writeStream.format("memory").queryName("weirlog_unseen").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = dedupe_unseen(replay_stream(lines, model)).writeStream.format("memory").queryName("weirlog_unseen").outputMode("append").start()
+    until = time.time() + 60  # state that can time out keeps triggering, so the query does not end by itself
+    while time.time() < until and not spark.table("weirlog_unseen").count():
+        time.sleep(0.5)
+    q.stop()
     assert [(r["masked"], r["seen"]) for r in spark.table("weirlog_unseen").collect()] == [("who knows <*>", 2)]
