@@ -61,5 +61,21 @@ def test_repeated_lines_stay(spark, documents):
     assert all(x["kept"] for x in quality.quality_rules(documents(rows)).collect())
 
 
+def test_extreme_repeats_alone_go(spark, documents):
+    r = random.Random(4)
+    rows = [(i, prose(r, r.randint(60, 300)), "en", "s") for i in range(400)]
+    line, part = prose(r, 3), prose(r, 98)
+    rows.append((1000, "\n".join([prose(r, 700), *[line] * 199]), "en", "s"))  # nearly all lines are repeats, under half of the words
+    rows.append((1001, f"{part} {part} " + prose(r, 204), "en", "s"))  # 49% repeated words
+    got = {x["doc_id"]: x for x in quality.quality_rules(documents(rows)).collect()}
+    assert not got[1000]["base_failed"] and not got[1001]["base_failed"]
+    assert not got[1000]["kept"] and not got[1001]["kept"]
+    assert sum(not x["kept"] for x in got.values()) <= 4
+
+
+def test_quantiles():
+    assert abs(quality._chi2(0.5, 6) - 5.34812) < 1e-4 and abs(quality._chi2(0.999, 6) - 22.45774) < 1e-4
+
+
 def test_empty_table(spark, documents):
     assert quality.quality_rules(documents([])).count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,14 +17,29 @@ MIN_GROUP = 200
 #: Share of a group's documents that its estimate rests on.
 CORE = 0.5
 STEPS = 4
-#: Reject beyond this many times the distance that CORE of the group keeps within.
-REACH = 12.0
-#: Transformed statistics and the standard deviation below which none is taken as known.
-FEATURES = {"f_length": 0.08, "f_symbols": 0.05, "f_lines": 0.45, "f_repeat": 0.35, "f_upper": 0.05, "f_marks": 0.04}
+#: Reject beyond the distance that this share of normal documents keeps within.
+REACH = 0.999
+#: Transformed statistics and the standard deviation below which none is taken as known; f_lines (at most 1) and f_repeat
+#: (at most sqrt(0.5)) can each pass the limit alone.
+FEATURES = {"f_length": 0.08, "f_symbols": 0.05, "f_lines": 0.18, "f_repeat": 0.13, "f_upper": 0.05, "f_marks": 0.04}
 #: Histogram steps a unit, for medians and quantiles that do not depend on the order of rows.
 GRAIN = 256
 
 
+def _chi2_share(x: float, degrees: int) -> float:
+    """Share of the chi-square distribution below x, for even degrees of freedom."""
+    return 1.0 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(degrees // 2))
+
+
+def _chi2(share: float, degrees: int) -> float:
+    """Quantile of the chi-square distribution, for even degrees of freedom, by bisection."""
+    low, high = 0.0, 1_000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if _chi2_share(mid, degrees) < share else (low, mid)
+    return low
+
+
 def _covered(hashes: Column) -> Column:
     """Sorted (hash, position) pairs, or null when no two hashes are equal."""
     pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
@@ -84,16 +101,20 @@ def _whiten(prefix: str = "") -> Column:
     return total
 
 
-def _estimate(core: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of each group's covariance, its diagonal raised by the squared floors."""
+def _estimate(near: DataFrame, core: float) -> DataFrame:
+    """Mean and Cholesky factor of each group's covariance, its diagonal raised by the squared floors.
+
+    The covariance of the core share nearest to the centre is first scaled to that of the whole, as for normal data.
+    """
     names = list(FEATURES)
+    wider = core / _chi2_share(_chi2(core, len(names)), len(names) + 2)
     sums = [F.count("*").alias("n")] + [F.sum(a).alias(f"s_{a}") for a in names]
     sums += [F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]]
-    g = core.groupBy("grp").agg(*sums).withColumns({f"m_{a}": F.round(F.col(f"s_{a}") / F.col("n"), 9) for a in names})
+    g = near.groupBy("grp").agg(*sums).withColumns({f"m_{a}": F.round(F.col(f"s_{a}") / F.col("n"), 9) for a in names})
     cov = {}
     for i, a in enumerate(names):
         for b in names[: i + 1]:
-            c = F.round(F.col(f"s_{a}_{b}") / F.col("n") - F.col(f"m_{a}") * F.col(f"m_{b}"), 9)
+            c = F.round((F.col(f"s_{a}_{b}") / F.col("n") - F.col(f"m_{a}") * F.col(f"m_{b}")) * wider, 9)
             cov[f"c_{a}_{b}"] = c + FEATURES[a] ** 2 if a == b else c
     g = g.withColumns(cov)
     for j, b in enumerate(names):
@@ -117,8 +138,8 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     The estimate starts from medians with the floors as scale, and repeats concentration steps: the CORE share of a
     group nearest to its centre gives the next centre and covariance. A document is rejected when its squared
-    Mahalanobis distance is over `reach` times the distance that CORE of its group keeps within. Documents that fail
-    the base rules do not take part in estimates. Groups under MIN_GROUP use their language, then all documents.
+    Mahalanobis distance is over the chi-square quantile of `reach`, times the median correction: the squared distance
+    that CORE of its group keeps within over the chi-square quantile of CORE, at least 1. Documents that fail the base rules do not take part in estimates. Groups under MIN_GROUP use their language, then all documents.
     Only sums and histograms by group are shuffled after the statistics are staged.
 
     Null text: an empty text (base_failed). Null language or source: groups of their own. Repeated rows count each.
@@ -150,11 +171,12 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         far = _attach(wide, est).withColumn("d2", _whiten())
         edge = stage(_quantile(far, ["grp"], F.sqrt("d2"), core, "edge"), "qualityedge")
         near = _attach(far.select("grp", *FEATURES, "d2"), edge).where(F.round(F.sqrt("d2") * GRAIN) <= F.col("edge") * GRAIN)
-        est = stage(_estimate(near), "qualityest")
+        est = stage(_estimate(near, core), "qualityest")
     edge = stage(_quantile(_attach(wide, est).withColumn("d2", _whiten()), ["grp"], F.sqrt("d2"), core, "edge"), "qualityedge")
     model = _attach(est, edge)
     d = _attach(d, stage(model, "qualitymodel")).withColumn("distance", F.sqrt(_whiten()))
-    limit = F.greatest(F.col("edge"), F.lit(1.0)) * F.sqrt(F.lit(reach))
+    whole, half = _chi2(reach, len(FEATURES)), _chi2(core, len(FEATURES))
+    limit = F.greatest(F.col("edge") / math.sqrt(half), F.lit(1.0)) * math.sqrt(whole)
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= F.coalesce(limit, F.lit(0.0)))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance", limit.alias("limit"))
 
