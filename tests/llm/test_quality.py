@@ -73,6 +73,14 @@ def test_extreme_repeats_alone_go(spark, documents):
     assert sum(not x["kept"] for x in got.values()) <= 4
 
 
+def test_small_source_has_its_own_estimate(spark, documents):
+    r = random.Random(5)
+    rows = [(i, prose(r, r.randint(60, 300)), "en", "hot") for i in range(400)]
+    rows += [(1000 + i, prose(r, r.randint(60, 300)).upper(), "en", "small") for i in range(40)]
+    got = {x["doc_id"]: x["kept"] for x in quality.quality_rules(documents(rows)).collect()}
+    assert sum(not got[i] for i in got if i >= 1000) <= 1
+
+
 def test_quantiles():
     assert abs(quality._chi2(0.5, 6) - 5.34812) < 1e-4 and abs(quality._chi2(0.999, 6) - 22.45774) < 1e-4
 

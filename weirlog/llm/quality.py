@@ -13,7 +13,7 @@ from .common import SPACE, dimension, same, stage
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A language and source (else a language, else all) with fewer documents has no estimate of its own.
-MIN_GROUP = 200
+MIN_GROUP = 30
 #: Share of a group's documents that its estimate rests on.
 CORE = 0.5
 STEPS = 4
