@@ -55,5 +55,13 @@ def test_ranks_follow_links(spark):
     assert got[3]["verdict"] == got[5]["verdict"] == got[6]["verdict"] == "allow"
 
 
+def test_long_chains_and_many_seeds_reach_all(spark):
+    link = lambda h: f'<a href="http://{h}/x">t</a>'
+    rows = [(i, f"http://h{i}.info/", link(f"h{i - 1}.info" if i > 1 else "bad.com")) for i in range(1, 25)]
+    rows += [(0, "http://bad.com/en/1", None)] + [(100 + i, f"http://lone{i}.com/en/1", None) for i in range(20_000)]
+    got = verdicts(spark, rows)
+    assert all(got[i]["verdict"] == "block" and got[i]["distrust"] > 0 for i in range(25))
+
+
 def test_empty_table(spark):
     assert verdicts(spark, []) == {}

@@ -12,8 +12,7 @@ from .common import dimension, same, stage
 #: (verdict, host, path prefix)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 DAMPING = 0.85
-ROUNDS = 20
-#: Stop when the ranks of a round differ by less than this in sum.
+#: Stop when a round adds less than this share to the rank of every host; a host that is newly reached gains all of its rank.
 SETTLED = 1e-4
 #: A host is blocked when its distrust is over this many times its trust.
 TIMES = 1.0
@@ -37,25 +36,29 @@ def _matched(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return rule, verdict
 
 
-def _spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """Personalised PageRank: (host, rank) with restarts at seeds (host, seed), rank that finds no edge restarts too."""
+def _spread(edges: DataFrame, seeds: DataFrame, rounds: int | None, damping: float) -> DataFrame:
+    """Personalised PageRank: (host, rank) with restarts at seeds (host, seed), rank that finds no edge restarts too.
+
+    Restarts only scale the ranks, so what the seeds send is summed path length by path length and divided by its total
+    at the end. Sums only grow, and rounds go on until no host is new and none gains a share of SETTLED; rounds, if
+    given, ends them earlier.
+    """
     out = edges.groupBy("a").agg(F.sum("n").alias("all")).withColumnRenamed("a", "a2")
     out = stage(out, "urlout")
     steps = stage(edges.join(out, F.col("a") == F.col("a2")).select("a", "b", (F.col("n") / F.col("all")).alias("p")), "urlsteps")
-    rank = seeds.select("host", F.col("seed").alias("rank"))
+    rank = seeds.select("host", F.col("seed").alias("rank"), F.col("seed").alias("gain"))
     if steps.limit(1).count() == 0:
-        return rank
-    for _ in range(rounds):
-        sent = steps.join(rank, F.col("a") == F.col("host")).groupBy("b").agg(F.sum(F.col("rank") * F.col("p") * damping).alias("got"))
-        got = stage(sent, "urlgot")
-        home = 1.0 - (got.agg(F.sum("got")).first()[0] or 0.0)
-        base = seeds.select("host", (F.col("seed") * home).alias("rank"))
-        new = stage(base.unionByName(got.select(F.col("b").alias("host"), F.col("got").alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank")), "urlrank")
-        moved = new.select("host", "rank").unionByName(rank.select("host", (-F.col("rank")).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("x")).agg(F.sum(F.abs("x"))).first()[0]
-        rank = new
-        if moved is None or moved < SETTLED:
+        return rank.drop("gain")
+    done = 0
+    while rounds is None or done < rounds:
+        sent = steps.join(rank.where("gain > 0"), F.col("a") == F.col("host")).groupBy("b").agg(F.sum(F.col("gain") * F.col("p") * damping).alias("got"))
+        new = rank.select("host", "rank", F.lit(0.0).alias("gain")).unionByName(sent.select(F.col("b").alias("host"), F.col("got").alias("rank"), F.col("got").alias("gain")))
+        rank = stage(new.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("gain").alias("gain")), "urlrank")
+        done += 1
+        if rank.where((F.col("gain") > 0) & (F.col("gain") >= SETTLED * F.col("rank"))).limit(1).count() == 0:
             break
-    return rank
+    total = rank.agg(F.sum("rank")).first()[0]
+    return rank.select("host", (F.col("rank") / F.lit(float(total or 1.0))).alias("rank"))
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
@@ -67,7 +70,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 def url_filter(
     pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    rules: Sequence[tuple[str, str, str]] = RULES, rounds: int = ROUNDS, damping: float = DAMPING, times: float = TIMES,
+    rules: Sequence[tuple[str, str, str]] = RULES, rounds: int | None = None, damping: float = DAMPING, times: float = TIMES,
 ) -> DataFrame:
     """A verdict for each page: the longest rule that fits, else its host's standing in the link graph.
 
@@ -75,7 +78,7 @@ def url_filter(
     proportion to their number. Trust follows links forwards, distrust backwards (who links to blocked hosts), both as
     personalised PageRank with restarts. A host is blocked when its distrust exceeds `times` its trust; a host that
     neither reaches is allowed. Hosts are counted before anything is spread, each round is staged, and the loop ends
-    when ranks settle.
+    when no host is newly reached and no rank grows by a share of SETTLED.
 
     Null url, or one without ://: host and path empty, allowed. Null html: no links. Repeated rows count each. Empty
     table: no rows. Returns (page_id, host, path, rule, verdict, trust, distrust).
