@@ -251,3 +251,11 @@ def test_lines_and_own_masks(spark):
 def test_done_thresholds(spark):
     rows = [("HDFS", 0.5, 0.9), ("HDFS", 1.0, None), ("BGL", 1.5, 0.1)]
     assert mining.done_thresholds(spark.createDataFrame(rows, "Dataset string, EntropyThreshold double, FTA double"), "HDFS") == [0.5]
+
+
+def test_mined_clusters_take_all_training_strings(spark):
+    from weirlog import queries
+
+    sf = "/root/testdata/sf0.01"
+    different = queries._lines(spark, sf).select("masked").distinct().count()
+    assert queries.QUERIES["mined_clusters"](spark, sf).count() == different > 200

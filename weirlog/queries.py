@@ -141,9 +141,9 @@ def freq_topk(spark: SparkSession, sf: str) -> DataFrame:
 _TRAIN_SQL = _TOP_SQL.format(k=200) + r", tr AS (SELECT idx, 'P0:user_P2:did' AS bucket, list_distinct(list_filter(string_split_regex(masked, '\s+'), lambda x: x <> '')) AS s FROM top), pr AS (SELECT a.bucket, a.idx AS i, b.idx AS j, CASE WHEN len(list_distinct(a.s || b.s)) = 0 THEN 1.0 ELSE 1.0 - len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)) END AS d FROM tr a JOIN tr b ON a.bucket = b.bucket AND a.idx < b.idx)"
 
 
-def _training(spark: SparkSession, sf: str) -> DataFrame:
+def _training(spark: SparkSession, sf: str, top: int = 200) -> DataFrame:
     """Training strings: the most frequent ones, counted over the whole table, are what is clustered."""
-    items = buckets.items(buckets.top_strings(_lines(spark, sf), 200))
+    items = buckets.items(buckets.top_strings(_lines(spark, sf), top))
     return buckets.with_bucket(items, [0, 2])
 
 
@@ -162,8 +162,8 @@ def elbow_cutoff(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def mined_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Clusters, aligned templates and their messages of the 200 most frequent strings."""
-    return clustering.number_clusters(clustering.mine_clusters(_training(spark, sf), clustering.Mining()))
+    """Clusters, aligned templates and their messages of the most frequent strings, as many as a model is trained on."""
+    return clustering.number_clusters(clustering.mine_clusters(_training(spark, sf, mining.TOP_STRINGS), clustering.Mining()))
 
 
 _TYPE_SQL = _TOKENS_SQL + ", w AS (SELECT idx, i - 1 AS pos, tokens[i] AS token, event_type AS cluster FROM t, (SELECT unnest(range(1, 6)) AS i) WHERE i <= len(tokens))"
