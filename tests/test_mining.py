@@ -259,3 +259,19 @@ def test_mined_clusters_take_all_training_strings(spark):
     sf = "/root/testdata/sf0.01"
     different = queries._lines(spark, sf).select("masked").distinct().count()
     assert queries.QUERIES["mined_clusters"](spark, sf).count() == different > 200
+
+
+def test_variants_and_quadrants_parse_as_production(spark, monkeypatch):
+    from weirlog import queries
+
+    class Seen(Exception):
+        pass
+
+    def fit(rows, s, *, full_parse_rows=mining.FULL_PARSE_ROWS, top=mining.TOP_STRINGS):
+        raise Seen(full_parse_rows, top)
+
+    monkeypatch.setattr(mining, "fit", fit)
+    for name in ("variant_nobucket", "quadrant_u_t"):
+        with pytest.raises(Seen) as seen:
+            queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert seen.value.args == (50_000, 8_000)

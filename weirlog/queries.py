@@ -446,7 +446,7 @@ def _variant_query(name: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         s = mining.variant(name, "spark")
         rows = mining.stage(mining.masked_rows(_shaped(spark, sf), s.format), "masked")
-        model = mining.fit(rows, s, full_parse_rows=1_000)
+        model = mining.fit(rows, s)
         return mining.transform(model, rows).select("idx", "event_id", "event_template")
 
     run.__name__ = "variant_" + name.lower()
@@ -461,7 +461,7 @@ def _quadrant_query(cell: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         s = mining.quadrant("spark", cell)
         rows = mining.stage(mining.masked_rows(_shaped(spark, sf), s.format), "masked")
-        got = mining.transform(mining.fit(rows, s, full_parse_rows=1_000), rows)
+        got = mining.transform(mining.fit(rows, s), rows)
         a = got.select(F.col("idx").alias("id"), F.col("shape").alias("gt"), evaluation_key(F.col("event_template")).alias("pred"))
         return metrics.scores(metrics.contingency(a)).withColumn("quadrant", F.lit(cell))
 
