@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,7 +83,7 @@ def test_lying_hashes_are_found_out(monkeypatch):
     contexts = [words(r, 40).encode()[:120] for _ in range(6)]
     contexts += contexts[:2]
     n = len(contexts)
-    args = (contexts, np.zeros(n, np.int64), np.full(n, 10), np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64))
+    args = (contexts, np.zeros(n, np.int64), np.full(n, 10), np.arange(n), np.zeros(n, np.int64))
     honest = suffixes._gone_windows(*args)[0]
     monkeypatch.setattr(suffixes, "common_prefix", lambda prefix, down, x, y, most: np.full(len(x), most))
     lied = suffixes._gone_windows(*args)[0]
@@ -99,3 +100,68 @@ def test_anchors_depend_on_windows_alone():
         runs.append({int(s) - len(before): (int(x) - len(before), int(v)) for i, j, x, v in zip(lo, hi, at, h, strict=True) for s in range(i, j + 1) if s >= len(before)})
     assert runs[0] == runs[1]
     assert runs[0]
+
+
+def batch_of(texts):
+    return pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array([b""] * len(texts), pa.binary()), pa.array(texts, pa.string())], names=["did", "tag", "body"])
+
+
+def covered(rows):
+    return {(r["did"], k) for r in rows for k in range(r["begin"], r["end"])}
+
+
+def test_lying_hashes_on_every_path(monkeypatch):
+    """Anchors, contexts and crowds under hashes that are always 0: nothing goes that bytes do not repeat."""
+    r = random.Random(12)
+    passage = words(r, 40)
+    texts = [words(r, 20) + passage, words(r, 20), passage + words(r, 10), words(r, 30), words(r, 20) + passage]
+    want, seen = set(), set()
+    for i, t in enumerate(texts):
+        b = t.encode()
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                want |= {(i, x) for x in range(k, k + 100)}
+            seen.add(b[k : k + 100])
+    monkeypatch.setattr(suffixes, "prefix_hash", lambda data: np.zeros(len(data) + 1, np.uint64))
+    monkeypatch.setattr(suffixes, "common_prefix", lambda prefix, down, x, y, most: np.full(len(x), most))
+    runs = [x for b in suffixes._find_runs(iter([batch_of(texts)]), np.zeros(0, np.int64)) for x in b.to_pylist()]
+    known = covered([{"did": x["did"], "begin": x["lo"], "end": x["c1"]} for x in runs if x["known"]])
+    assert known <= want
+    raw = [t.encode() for t in texts]
+    rows = [(x["h"], x["did"], x["tag"], x["lo"], x["left"], raw[x["did"]][x["lo"] : x["lo"] + x["span"] + 100]) for x in runs if not x["known"]]
+    asked = pa.RecordBatch.from_pylist([dict(zip(("h", "did", "tag", "begin", "left", "bytes"), x, strict=True)) for x in rows])
+    compared = covered([x for b in suffixes._compare_contexts(iter([asked])) for x in b.to_pylist()])
+    assert known | compared == want
+    out = [x for b in suffixes._crowd_windows(iter([asked])) for x in b.to_pylist()]
+    digest = {}
+    for x in out:
+        if x["kind"]:
+            window = raw[x["did"]][x["begin"] : x["end"]]
+            assert digest.setdefault((x["w1"], x["w2"]), window) == window
+    assert covered([x for x in out if not x["kind"]]) | known == want
+
+
+def test_texts_with_one_id_or_none(spark, documents):
+    """Different texts without an id, or under one id, are documents of their own."""
+    r = random.Random(13)
+    one, two = (words(r, 40)[:129] for _ in range(2))
+    for ids in ((None, None), (5, 5)):
+        df = documents([(ids[0], one), (ids[1], two), (9, one)])
+        got = suffixes.remove_repeats(df).select("row.text", "row.doc_id", "n_removed").collect()
+        assert sorted((x["text"], x["doc_id"] or 0, x["n_removed"]) for x in got) == sorted([(one, ids[0] or 0, 0 if ids[0] else len(one.encode())), (two, ids[1] or 0, 0), (one, 9, len(one.encode()) if ids[0] else 0)])
+
+
+def test_hot_anchor(spark, documents):
+    """A line in every document, always with other neighbours: its anchors are hot and dealt out by context."""
+    r = random.Random(14)
+    line = words(r, 30)
+    rows = [(i, f"{words(r, 12)}\n{line[: 90 + i % 40]}\n{words(r, 12)}") for i in range(400)]
+    df = documents(rows).repartition(5)
+    source = df.select(F.col("doc_id").alias("did"), F.lit(b"").alias("tag"), F.col("text").alias("body"))
+    assert len(suffixes.hot_anchors(source, 50))
+    assert found(df) == brute(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        assert found(df) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

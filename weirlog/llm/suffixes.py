@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.shipping import ship
-from .common import stage
+from .common import dimension, stage
 from .shingles import M64, mix, powers, prefix_hash, span_hash
 
 LENGTH = 100
@@ -23,6 +25,8 @@ CHUNK = 1 << 20
 HOLD = 600_000
 #: An anchor with more different contexts than this is compared window by window, spread over tasks by window.
 CROWD = 4_000
+#: Anchors that hold as much of all runs as half a shuffle partition, and at least so many, are dealt out by context.
+HOT = 64
 #: Bytes of contexts sorted at a time.
 SORT_BYTES = 1 << 19
 
@@ -71,8 +75,16 @@ def anchor_runs(data: np.ndarray, begins: np.ndarray, length: int = LENGTH, gram
     return lo, hi, a, h[a], context
 
 
-RUN = [("h", pa.int64()), ("c", pa.int64()), ("did", pa.int64()), ("tag", pa.int32()), ("lo", pa.int64()), ("left", pa.int16()), ("span", pa.int16())]
+RUN = [("known", pa.bool_()), ("h", pa.int64()), ("s", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("did", pa.int64()), ("tag", pa.binary()), ("lo", pa.int64()), ("left", pa.int16()), ("span", pa.int16())]
 RUN_SCHEMA = pa.schema(RUN)
+RUN_DDL = "known boolean, h long, s long, c1 long, c2 long, did long, tag binary, lo long, left short, span short"
+
+
+def digests(raw: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(n, 2) 64-bit words: 128-bit BLAKE2b digests of raw's spans. Different bytes with one digest are not known to exist."""
+    view = memoryview(raw)
+    joined = b"".join([blake2b(view[b:e], digest_size=16).digest() for b, e in zip(begin.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(joined, dtype=np.int64).reshape(-1, 2)
 
 
 def _order(*columns: np.ndarray) -> np.ndarray:
@@ -91,124 +103,171 @@ def _firsts(order: np.ndarray, *columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _merged(did: np.ndarray, tag: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+def _merged(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
     """Intervals joined where they touch or overlap within a document."""
-    if not len(did):
-        return did, tag, begin, end
-    o = _order(did, tag, begin)
-    did, tag, begin, end = did[o], tag[o], begin[o], end[o]
-    doc = np.cumsum(np.concatenate(([0], (did[1:] != did[:-1]) | (tag[1:] != tag[:-1]))))
-    shift = doc * (int(end.max()) + 1)
+    if not len(doc):
+        return doc, begin, end
+    o = _order(doc, begin)
+    doc, begin, end = doc[o], begin[o], end[o]
+    shift = np.cumsum(np.concatenate(([0], doc[1:] != doc[:-1]))) * (int(end.max()) + 1)
     reach = np.maximum.accumulate(end + shift)
     new = np.concatenate(([True], begin[1:] + shift[1:] > reach[:-1]))
     at = np.flatnonzero(new)
-    stop = np.concatenate((at[1:], [len(did)])) - 1
-    return did[at], tag[at], begin[at], reach[stop] - shift[stop]
+    stop = np.concatenate((at[1:], [len(doc)])) - 1
+    return doc[at], begin[at], reach[stop] - shift[stop]
 
 
-def _columns(**c: np.ndarray) -> dict[str, np.ndarray]:
-    return c
+def _ranked(docs: list[tuple[int, bytes]]) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
+    """(place of each document in the order of documents, the different documents in this order)."""
+    names = sorted(set(docs))
+    place = {d: k for k, d in enumerate(names)}
+    return np.array([place[d] for d in docs], dtype=np.int64), names
 
 
 def _split_repeats(r: dict[str, np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-    """(rows that come first among those with their anchor and context, merged intervals of all later ones)."""
-    o = _order(r["h"], r["c"], r["did"], r["tag"], r["lo"])
-    new = _firsts(o, r["h"], r["c"])
+    """(rows that come first among those with their context, merged intervals of all later ones)."""
+    o = _order(r["c1"], r["c2"], r["doc"], r["lo"])
+    new = _firsts(o, r["c1"], r["c2"])
     lead = o[np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))] if len(o) else o
-    later = (r["did"][o] != r["did"][lead]) | (r["tag"][o] != r["tag"][lead]) | (r["lo"][o] != r["lo"][lead])
+    later = (r["doc"][o] != r["doc"][lead]) | (r["lo"][o] != r["lo"][lead])
     x = o[later]
-    return o[new], _merged(r["did"][x], r["tag"][x], r["lo"][x], r["lo"][x] + r["span"][x] + LENGTH)
+    return o[new], _merged(r["doc"][x], r["lo"][x], r["lo"][x] + r["span"][x] + LENGTH)
 
 
-def _run_batches(r: dict[str, np.ndarray], step: int = 200_000) -> Iterator[pa.RecordBatch]:
-    n = len(r["h"])
-    for k in range(0, n, step):
-        yield pa.record_batch([pa.array(r[name][k : k + step].astype(kind.to_pandas_dtype(), copy=False), kind) for name, kind in RUN], schema=RUN_SCHEMA)
+def _run_batches(r: dict[str, np.ndarray], names: list[tuple[int, bytes]], step: int = 100_000) -> Iterator[pa.RecordBatch]:
+    did, tags = np.array([d for d, _ in names], dtype=np.int64), pa.array([t for _, t in names], pa.binary())
+    for k in range(0, len(r["h"]), step):
+        part = {name: v[k : k + step] for name, v in r.items()}
+        part["did"] = did[part["doc"]]
+        cols = [tags.take(pa.array(part["doc"])) if name == "tag" else pa.array(part[name].astype(kind.to_pandas_dtype(), copy=False), kind) for name, kind in RUN]
+        yield pa.record_batch(cols, schema=RUN_SCHEMA)
 
 
-def _gone_rows(gone: tuple[np.ndarray, ...]) -> dict[str, np.ndarray]:
-    """Removed intervals as run rows with span -1: c holds their end, h spreads them over tasks."""
-    did, tag, begin, end = gone
-    n = len(did)
-    return _columns(h=mix(did.view(M64) + M64(7)).view(np.int64), c=end, did=did, tag=tag, lo=begin, left=np.zeros(n, np.int64), span=np.full(n, -1))
+def _gone_runs(gone: tuple[np.ndarray, ...]) -> dict[str, np.ndarray]:
+    """Removed intervals as rows that are known: c1 holds their end, h spreads them over tasks."""
+    doc, begin, end = gone
+    n, zero = len(doc), np.zeros(len(doc), np.int64)
+    return {"known": np.ones(n, bool), "h": mix((doc * 1_000_003 + begin).view(M64) + M64(7)).view(np.int64), "s": zero, "c1": end, "c2": zero, "doc": doc, "lo": begin, "left": zero, "span": zero}
 
 
-def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of a partition's documents, each anchor and context once; what repeats one within the partition is removed here."""
-    held: list[dict[str, np.ndarray]] = []
-    count = 0
-    parts: list[tuple[int, int, int, bytes]] = []
-    size = 0
+class _Parts:
+    """Documents' bytes, hashed CHUNK by CHUNK; a longer document is taken in overlapping parts."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[int, int, bytes]] = []
+        self.size = 0
 
-    def hash_parts() -> None:
-        nonlocal parts, size, count
-        if not parts:
-            return
-        lengths = np.array([len(p[3]) for p in parts])
-        begins = np.concatenate(([0], np.cumsum(lengths)))
-        data = np.frombuffer(b"".join(p[3] for p in parts), dtype=np.uint8)
-        lo, hi, a, h, c = anchor_runs(data, begins)
+    def add(self, doc: int, raw: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+        for base in range(0, max(len(raw) - LENGTH + 1, 0), CHUNK):
+            part = raw[base : base + CHUNK + LENGTH - 1]
+            self.parts.append((doc, base, part))
+            self.size += len(part)
+            if self.size >= CHUNK:
+                yield self.runs()
+
+    def runs(self) -> tuple[np.ndarray, ...]:
+        """(bytes, document, start in it, first and last window, anchor, anchor's hash, context's hash) of what was added; then it is forgotten."""
+        begins = np.concatenate(([0], np.cumsum([len(p[2]) for p in self.parts]))).astype(np.int64)
+        raw = b"".join(p[2] for p in self.parts)
+        lo, hi, a, h, c = anchor_runs(np.frombuffer(raw, dtype=np.uint8), begins)
         i = np.searchsorted(begins, lo, side="right") - 1
-        did, tag, base = (np.array([p[k] for p in parts], dtype=np.int64)[i] for k in range(3))
-        held.append(_columns(h=h.view(np.int64), c=c.view(np.int64), did=did, tag=tag, lo=lo - begins[i] + base, left=a - lo, span=hi - lo))
+        doc, base = (np.array([p[k] for p in self.parts], dtype=np.int64)[i] for k in range(2))
+        self.parts, self.size = [], 0
+        return raw, doc, lo - begins[i] + base, lo, hi, a, h.view(np.int64), c
+
+
+def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, runs) of anchors with several contexts in a piece of a partition; a null anchor has the runs of all."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    count, parts = 0, _Parts()
+
+    def flush() -> pa.RecordBatch:
+        nonlocal held, count
+        h, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        o = _order(h, c)
+        new = _firsts(o, h, c)
+        anchors, n = np.unique(h[o][new], return_counts=True)
+        more = n > 1
+        held, count = [], 0
+        return pa.record_batch([pa.array([None, *anchors[more].tolist()], pa.int64()), pa.array([int(n.sum()), *n[more].tolist()], pa.int64())], names=["h", "n"])
+
+    for batch in batches:
+        for text in batch.column(2).to_pylist():
+            for _, _, _, _, _, _, h, c in parts.add(0, text.encode()):
+                held.append((h, c))
+                count += len(h)
+        if count >= HOLD:
+            yield flush()
+    if parts.parts:
+        held.append(parts.runs()[-2:])
+    if held:
+        yield flush()
+
+
+def hot_anchors(source: DataFrame, partitions: int) -> np.ndarray:
+    """Anchors that hold more runs than half of an even shuffle partition; there can be no more than twice as many as partitions."""
+    n = stage(source.mapInArrow(_count_anchors, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "sxhot")
+    total = n.where("h is null").agg(F.sum("n")).first()[0] or 0
+    limit = max(HOT, total // (2 * partitions))
+    return np.sort(np.array([r["h"] for r in n.where(F.col("h").isNotNull() & (F.col("n") > limit)).select("h").collect()], dtype=np.int64))
+
+
+def _find_runs(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Runs of a partition's documents, each context once; what repeats one within a piece of the partition is known to go."""
+    held: list[dict[str, np.ndarray]] = []
+    docs: list[tuple[int, bytes]] = []
+    count, parts = 0, _Parts()
+
+    def take(found: tuple[np.ndarray, ...]) -> None:
+        nonlocal count
+        raw, doc, start, lo, hi, a, h, _ = found
+        c = digests(raw, lo, hi + LENGTH)
+        held.append({"h": h, "c1": c[:, 0], "c2": c[:, 1], "doc": doc, "lo": start, "left": a - lo, "span": hi - lo})
         count += len(lo)
-        parts, size = [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal held, count
+        nonlocal held, docs, count
+        if parts.parts:
+            take(parts.runs())
         if held:
             r = {k: np.concatenate([x[k] for x in held]) for k in held[0]}
-            held, count = [], 0
+            place, names = _ranked(docs)
+            r["doc"] = place[r["doc"]]
             first, gone = _split_repeats(r)
-            yield from _run_batches({k: v[first] for k, v in r.items()})
-            yield from _run_batches(_gone_rows(gone))
+            r = {k: v[first] for k, v in r.items()}
+            r["known"] = np.zeros(len(first), bool)
+            r["s"] = np.where(np.isin(r["h"], hot), r["c1"], 0)
+            yield from _run_batches(r, names)
+            yield from _run_batches(_gone_runs(gone), names)
+        held, docs, count = [], [], 0
 
     for batch in batches:
-        for did, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            raw = text.encode()
-            for base in range(0, max(len(raw) - LENGTH + 1, 0), CHUNK):
-                part = raw[base : base + CHUNK + LENGTH - 1]
-                parts.append((did, tag, base, part))
-                size += len(part)
-                if size >= CHUNK:
-                    hash_parts()
+        for did, tag, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            docs.append((did, tag))
+            for found in parts.add(len(docs) - 1, text.encode()):
+                take(found)
         if count >= HOLD:
             yield from flush()
-    hash_parts()
     yield from flush()
 
 
-def _match_runs(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.RecordBatch]:
-    """All rows of an anchor are in one partition. Later equal contexts are removed; an anchor's different contexts go on, if two.
+def _match_runs(runs: DataFrame, hot: np.ndarray, crowd: int) -> DataFrame:
+    """(kind, h, did, tag, begin, end, left): 0 an interval to remove, 1 a context to compare, 2 one of a crowd.
 
-    Out: (kind, h, did, tag, begin, end, left); kind 0 an interval to remove, 1 a context to compare, 2 one of a crowd.
+    Later equal contexts are removed. The first ones of an anchor go on if they are two or more; a hot anchor's contexts
+    lie in many tasks and all go on. Sorting and window frames may spill, so no task holds an anchor in memory.
     """
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    table = pa.Table.from_batches(got)
-    r = {name: table.column(name).to_numpy().astype(np.int64) for name in RUN_SCHEMA.names}
-    del table, got
-    known = r["span"] < 0
-    old = (r["did"][known], r["tag"][known], r["lo"][known], r["c"][known])
-    r = {k: v[~known] for k, v in r.items()}
-    first, gone = _split_repeats(r)
-    did, tag, begin, end = _merged(*(np.concatenate(p) for p in zip(old, gone, strict=True)))
-    r = {k: v[first] for k, v in r.items()}
-    o = np.argsort(r["h"], kind="stable")
-    new = _firsts(o, r["h"])
-    at = np.flatnonzero(new)
-    n = np.diff(np.concatenate((at, [len(o)])))
-    times = np.repeat(n, n)
-    more = o[times > 1]
-    kind = np.where(times[times > 1] > crowd, 2, 1)
-    cols = (
-        np.concatenate((np.zeros(len(did), np.int64), kind)), np.concatenate((np.zeros(len(did), np.int64), r["h"][more])),
-        np.concatenate((did, r["did"][more])), np.concatenate((tag, r["tag"][more])), np.concatenate((begin, r["lo"][more])),
-        np.concatenate((end, r["lo"][more] + r["span"][more] + LENGTH)), np.concatenate((np.zeros(len(did), np.int64), r["left"][more])),
-    )
-    for k in range(0, len(cols[0]), 200_000):
-        yield pa.record_batch([pa.array(c[k : k + 200_000]) for c in cols], names=["kind", "h", "did", "tag", "begin", "end", "left"])
+    key = ["known", "h", "s"]
+    place = ["c1", "c2", "did", "tag", "lo"]
+    row = W.partitionBy(*key).orderBy(*place)
+    differs = lambda *names: F.coalesce(F.expr(" or ".join(f"{n} <> {n}_before" for n in names)), F.lit(True))
+    r = runs.withColumns({f"{n}_before": F.lag(n).over(row) for n in place})
+    r = r.withColumns({"new": differs("c1", "c2"), "moved": differs(*place)})
+    r = r.withColumn("contexts", F.sum(F.col("new").cast("long")).over(W.partitionBy(*key)))
+    crowded = (F.col("s") != 0) | (F.col("contexts") > crowd)
+    kind = F.when(F.col("known") | ~F.col("new"), 0).when(crowded, 2).when(F.col("contexts") > 1, 1)
+    end = F.when(F.col("known"), F.col("c1")).otherwise(F.col("lo") + F.col("span") + LENGTH)
+    return r.where("moved").select(kind.cast("int").alias("kind"), "h", "did", "tag", F.col("lo").alias("begin"), end.alias("end"), F.col("left").cast("long").alias("left")).where("kind is not null")
 
 
 def common_prefix(prefix: np.ndarray, down: np.ndarray, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
@@ -270,7 +329,7 @@ def sort_suffixes(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, bucket:
     return order
 
 
-def repeated_windows(contexts: list[bytes], group: np.ndarray, left: np.ndarray, did: np.ndarray, tag: np.ndarray, begin: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_windows(contexts: list[bytes], group: np.ndarray, left: np.ndarray, doc: np.ndarray, begin: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of the contexts, (context's index, start within it, first equal window's index or -1).
 
     Equal windows have one group and one distance from their anchors, so suffixes are sorted within these buckets.
@@ -284,7 +343,7 @@ def repeated_windows(contexts: list[bytes], group: np.ndarray, left: np.ndarray,
     offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     shift = left[row] - offset
     start = begin[row] + offset
-    o = _order(group[row], shift, did[row], tag[row], start)
+    o = _order(group[row], shift, doc[row], start)
     row, offset, shift, start = row[o], offset[o], shift[o], start[o]
     bucket = np.cumsum(np.concatenate(([0], (group[row][1:] != group[row][:-1]) | (shift[1:] != shift[:-1])))) if len(row) else row
     at = base[row] + offset
@@ -299,66 +358,83 @@ def repeated_windows(contexts: list[bytes], group: np.ndarray, left: np.ndarray,
         p = same[k : k + 20_000]
         span = np.arange(length)
         if not (data[at[p][:, None] + span] == data[at[p + 1][:, None] + span]).all():
-            return _by_bytes(contexts, row, offset, bucket, did, tag, start, length)
+            return _by_bytes(contexts, row, offset, bucket, doc, start, length)
     alike[same + 1] = True
     first = np.maximum.accumulate(np.where(alike, 0, np.arange(len(row)))) if len(row) else row
     lead = np.where(alike, first, -1)
     return row, offset, lead
 
 
-def _by_bytes(contexts, row, offset, bucket, did, tag, start, length) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _by_bytes(contexts, row, offset, bucket, doc, start, length) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     seen: dict = {}
     lead = np.full(len(row), -1)
-    for k in _order(bucket, did[row], tag[row], start):
+    for k in _order(bucket, doc[row], start):
         key = (bucket[k], contexts[row[k]][offset[k] : offset[k] + length])
         lead[k] = seen.setdefault(key, k) if key in seen else -1
         seen.setdefault(key, k)
     return row, offset, lead
 
 
-def _gone_windows(contexts: list[bytes], group, left, did, tag, begin) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, np.ndarray]]:
+def _gone_windows(contexts: list[bytes], group, left, doc, begin) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, np.ndarray]]:
     """(merged intervals of later equal windows, (context's index, start within it) of the first ones)."""
-    row, offset, lead = repeated_windows(contexts, group, left, did, tag, begin)
+    row, offset, lead = repeated_windows(contexts, group, left, doc, begin)
     start = begin[row] + offset
     x = np.flatnonzero(lead >= 0)
     y = lead[x]
-    later = (did[row[x]] != did[row[y]]) | (tag[row[x]] != tag[row[y]]) | (start[x] != start[y])
+    later = (doc[row[x]] != doc[row[y]]) | (start[x] != start[y])
     x = x[later]
     first = lead < 0
-    return _merged(did[row[x]], tag[row[x]], start[x], start[x] + LENGTH), (row[first], offset[first])
+    return _merged(doc[row[x]], start[x], start[x] + LENGTH), (row[first], offset[first])
 
 
 GONE = ["did", "tag", "begin", "end"]
+GONE_DDL = "did long, tag binary, begin long, end long"
+
+
+def _gone_columns(gone: tuple[np.ndarray, ...], names: list[tuple[int, bytes]]) -> list[pa.Array]:
+    doc, begin, end = gone
+    return [pa.array([names[d][0] for d in doc], pa.int64()), pa.array([names[d][1] for d in doc], pa.binary()), pa.array(begin.astype(np.int64)), pa.array(end.astype(np.int64))]
+
 
+def _compared(rows: list[tuple]) -> tuple:
+    """(contexts' bytes, merged intervals, first windows, start of each context, its document, names) of rows (h, did, tag, begin, left, bytes)."""
+    h, did, tag, begin, left, raw = zip(*rows, strict=True)
+    doc, names = _ranked(list(zip(did, tag, strict=True)))
+    begin = np.array(begin, dtype=np.int64)
+    gone, first = _gone_windows(list(raw), np.array(h), np.array(left, dtype=np.int64), doc, begin)
+    return raw, gone, first, begin, doc, names
 
-def _gone_batch(gone: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(g.astype(np.int64)) for g in gone], names=GONE)
+
+CUT = pa.schema([("kind", pa.int64()), ("h", pa.int64()), ("did", pa.int64()), ("tag", pa.binary()), ("begin", pa.int64()), ("left", pa.int64()), ("bytes", pa.binary())])
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the asked contexts of each document: (kind, h, did, tag, begin, left, bytes)."""
-    names = ["kind", "h", "did", "tag", "begin", "left", "bytes"]
+    rows: list[tuple] = []
+
+    def out() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), CUT, strict=True)], schema=CUT)
+
     for batch in batches:
-        rows: list[tuple] = []
         for did, tag, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = text.encode()
-            rows += [(a["kind"], a["h"], did, tag, a["begin"], a["left"], raw[a["begin"] : a["end"]]) for a in asked]
-            if len(rows) >= 20_000:
-                yield pa.record_batch([pa.array(c, pa.binary() if k == 6 else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
-                rows = []
-        if rows:
-            yield pa.record_batch([pa.array(c, pa.binary() if k == 6 else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
+            for a in asked:
+                rows.append((a["kind"], a["h"], did, tag, a["begin"], a["left"], raw[a["begin"] : a["end"]]))
+                if len(rows) >= 10_000:
+                    yield out()
+                    rows = []
+    if rows:
+        yield out()
 
 
 def _compare_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor; whole anchors, SORT_BYTES or one crowd at most, are sorted at a time."""
+    """Rows sorted by anchor; whole anchors, SORT_BYTES or one anchor at most, are sorted at a time."""
     held: list[tuple] = []
     size, last = 0, None
 
     def out() -> pa.RecordBatch:
-        h, did, tag, begin, left, raw = zip(*held, strict=True)
-        gone, _ = _gone_windows(list(raw), np.array(h), *(np.array(v, dtype=np.int64) for v in (left, did, tag, begin)))
-        return _gone_batch(gone)
+        _, gone, _, _, _, names = _compared(held)
+        return pa.record_batch(_gone_columns(gone, names), names=GONE)
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -373,42 +449,35 @@ def _compare_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _crowd_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of crowds: those that repeat one of this task's are removed here (kind 0), the others go on by their hashes."""
+    """Windows of crowds: those that repeat one of this task's are removed here (kind 0), the others go on by their digests."""
     rows: list[tuple] = []
 
     def out() -> pa.RecordBatch:
-        h, did, tag, begin, left, raw = zip(*rows, strict=True)
-        did, tag, begin, left = (np.array(v, dtype=np.int64) for v in (did, tag, begin, left))
-        gone, (row, offset) = _gone_windows(list(raw), np.array(h), left, did, tag, begin)
-        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        raw, gone, (row, offset), begin, doc, names = _compared(rows)
         sizes = np.array([len(x) for x in raw])
         at = (np.cumsum(sizes) - sizes)[row] + offset
-        w = span_hash(prefix_hash(data), at, at + LENGTH)
-        v = mix(span_hash(prefix_hash(data ^ 0x5A), at, at + LENGTH) + M64(3))
-        zero, one = np.zeros(len(gone[0]), np.int64), np.ones(len(row), np.int64)
+        w = digests(b"".join(raw), at, at + LENGTH)
         start = begin[row] + offset
-        pairs = ((zero, one), (zero, w.view(np.int64)), (zero, v.view(np.int64)), (gone[0], did[row]), (gone[1], tag[row]), (gone[2], start), (gone[3], start + LENGTH))
-        return pa.record_batch([pa.array(np.concatenate(p)) for p in pairs], names=["kind", "w", "v", *GONE])
+        kind = np.concatenate((np.zeros(len(gone[0]), np.int64), np.ones(len(row), np.int64)))
+        one, two = (np.concatenate((np.zeros(len(gone[0]), np.int64), w[:, k])) for k in range(2))
+        spans = tuple(np.concatenate(p) for p in ((gone[0], doc[row]), (gone[1], start), (gone[2], start + LENGTH)))
+        return pa.record_batch([pa.array(kind), pa.array(one), pa.array(two), *_gone_columns(spans, names)], names=["kind", "w1", "w2", *GONE])
 
+    size = 0
     for batch in batches:
-        rows += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-        if len(rows) >= CROWD:
-            yield out()
-            rows = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows.append(row)
+            size += len(row[5])
+            if size >= SORT_BYTES:
+                yield out()
+                rows, size = [], 0
     if rows:
         yield out()
 
 
-def _match_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    w, v, did, tag, begin, end = (c.to_numpy() for c in pa.Table.from_batches(got).columns)
-    o = _order(w, v, did, tag, begin)
-    new = _firsts(o, w, v)
-    lead = o[np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))]
-    x = o[(did[o] != did[lead]) | (tag[o] != tag[lead]) | (begin[o] != begin[lead])]
-    yield _gone_batch(_merged(did[x], tag[x], begin[x], end[x]))
+def _match_windows(windows: DataFrame) -> DataFrame:
+    """All but the first of equal windows."""
+    return windows.withColumn("nth", F.row_number().over(W.partitionBy("w1", "w2").orderBy("did", "tag", "begin"))).where("nth > 1").select(*GONE)
 
 
 def _apply(batches: Iterator[pa.RecordBatch], at: int, as_text: bool) -> Iterator[pa.RecordBatch]:
@@ -435,47 +504,59 @@ def _apply(batches: Iterator[pa.RecordBatch], at: int, as_text: bool) -> Iterato
         yield pa.RecordBatch.from_arrays([*batch.columns[:at], *cols], names=[*batch.schema.names[:at], "kept", "spans", "n_removed", "n_bytes"])
 
 
+def _tags(docs: DataFrame, did: Column, text: Column) -> DataFrame:
+    """docs with `tag`: empty where an id is the document's alone, else (null and repeated ids) the text's SHA-256."""
+    hashed = F.unhex(F.sha2(text, 256))
+    ids = docs.select(did.alias("d_id")).where("d_id is not null")
+    twice = stage(ids.groupBy("d_id").count().where("count > 1").select("d_id"), "sxtwice")
+    none = F.lit(b"")
+    if not twice.limit(1).count():
+        return docs.withColumn("tag", F.when(did.isNull(), hashed).otherwise(none))
+    joined = docs.join(dimension(twice), did == F.col("d_id"), "left")
+    return joined.withColumn("tag", F.when(did.isNull() | F.col("d_id").isNotNull(), hashed).otherwise(none)).drop("d_id")
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, crowd: int = CROWD) -> DataFrame:
     """Remove every byte that lies in a 100-byte string which also starts earlier, in a smaller document or before it in the same.
 
     1. Every window of 100 bytes has an anchor, chosen by its bytes alone; windows in a row with one anchor form a run
-    whose context is all their bytes. Each partition sends every anchor and context once; what repeats it there is
-    removed at once, so copies do not pile up on an anchor. 2. By anchor, the first of equal contexts stays and later
-    ones are removed. 3. Only anchors with different contexts fetch their bytes: their suffixes are sorted by
-    hash-compared mergesort and equal neighbours, verified byte by byte, are removed but for the first. 4. Anchors with
-    more than `crowd` contexts are compared by window hashes (128 bits) spread over tasks. 5. Each document's intervals
-    are merged and cut out.
+    whose context is all their bytes. Each partition sends every context once; what repeats it there is removed at
+    once, so copies do not pile up. Anchors that hold more than half a shuffle partition are found first and dealt out
+    by context. 2. Of equal contexts, by a 128-bit BLAKE2b digest of their bytes, the first stays and later ones are
+    removed. 3. Only anchors with different contexts fetch their bytes: their suffixes are sorted by hash-compared
+    mergesort and equal neighbours, verified byte by byte, are removed but for the first. 4. Hot anchors, and those with
+    more than `crowd` contexts, do so piece by piece, and windows of different pieces meet by their digests. Which way an
+    anchor goes does not change the result. 5. Each document's intervals are merged and cut out.
 
     Null text: empty. Null id: ordered after all others. Rows that repeat an id with the same text are one document and
-    do not remove each other; with other texts they are ordered by a hash of the text. Empty table: no rows. Other
-    columns are kept. Returns (row, kept, spans, n_removed, n_bytes): row holds docs' columns; kept is binary, or with as_text a string
-    without the characters that lost a part.
+    do not remove each other; with other texts they are documents of their own, ordered by the texts' SHA-256, as are
+    those with null ids. Empty table: no rows. Other columns are kept. Returns (row, kept, spans, n_removed, n_bytes): row
+    holds docs' columns; kept is binary, or with as_text a string without the characters that lost a part.
     """
     spark = docs.sparkSession
     ship(spark)
-    did = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), did.alias("did"), F.hash(text).alias("tag"), text.alias("body"))
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    keyed = _tags(plain, F.col("id"), F.col("body"))
+    keyed = keyed.select("row", F.coalesce("id", F.lit(2**63 - 1)).alias("did"), "tag", "body")
     source = keyed.where(F.octet_length("body") >= LENGTH).select("did", "tag", "body")
-    runs = source.mapInArrow(_find_runs, "h long, c long, did long, tag int, lo long, left short, span short").repartition("h")
-    found = stage(runs.mapInArrow(lambda it: _match_runs(it, crowd), "kind long, h long, did long, tag long, begin long, end long, left long"), "sxfound")
-    found = found.withColumn("tag", F.col("tag").cast("int"))
+    hot = hot_anchors(source, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    runs = source.mapInArrow(lambda it: _find_runs(it, hot), RUN_DDL)
+    found = stage(_match_runs(runs, hot, crowd), "sxfound")
     gone = found.where("kind = 0").select(*GONE)
     asked = found.where("kind > 0").groupBy("did", "tag").agg(F.collect_list(F.struct("kind", "h", "begin", "end", "left")).alias("asked"))
     bodies = source.dropDuplicates(["did", "tag"]) if _repeated(source) else source
-    cut = bodies.join(asked, ["did", "tag"]).select("did", "tag", "body", "asked").mapInArrow(_cut_contexts, "kind long, h long, did long, tag long, begin long, left long, bytes binary")
+    cut = bodies.join(asked, ["did", "tag"]).select("did", "tag", "body", "asked").mapInArrow(_cut_contexts, "kind long, h long, did long, tag binary, begin long, left long, bytes binary")
     cut = stage(cut, "sxcut")
     rows = ["h", "did", "tag", "begin", "left", "bytes"]
-    few = cut.where("kind = 1").select(*rows).repartition("h").sortWithinPartitions("h").mapInArrow(_compare_contexts, "did long, tag long, begin long, end long")
-    many = cut.where("kind = 2").select(*rows)
+    few = cut.where("kind = 1").select(*rows).repartition("h").sortWithinPartitions("h").mapInArrow(_compare_contexts, GONE_DDL)
     parts = [gone, few]
+    many = cut.where("kind = 2").select(*rows)
     if many.limit(1).count():
-        windows = stage(many.mapInArrow(_crowd_windows, "kind long, w long, v long, did long, tag long, begin long, end long"), "sxwin")
-        parts.append(windows.where("kind = 0").select(*GONE))
-        parts.append(windows.where("kind = 1").select("w", "v", *GONE).repartition("w", "v").mapInArrow(_match_windows, "did long, tag long, begin long, end long"))
+        windows = stage(many.mapInArrow(_crowd_windows, f"kind long, w1 long, w2 long, {GONE_DDL}"), "sxwin")
+        parts += [windows.where("kind = 0").select(*GONE), _match_windows(windows.where("kind = 1"))]
     every = parts[0]
     for p in parts[1:]:
-        every = every.unionByName(p.withColumn("tag", F.col("tag").cast("int")))
+        every = every.unionByName(p)
     lists = stage(every.groupBy("did", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("gone")), "sxgone")
     inner = keyed.join(lists, ["did", "tag"], "left").select("row", "body", "gone")
     more = T.StructType.fromDDL(f"kept {'string' if as_text else 'binary'}, spans array<struct<begin:bigint,end:bigint>>, n_removed bigint, n_bytes bigint")
