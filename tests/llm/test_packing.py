@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -36,6 +37,20 @@ def test_pieces_are_the_ids(spark, documents, clash):
         assert at <= packing.WINDOW
 
 
+def test_long_runs(spark, documents):
+    """Runs that the rank encoder refuses, or takes time with the square of, give the tokenizer file's ids."""
+    encode, _ = packing._tokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, ("b" * 19_999 + " ") * 20, (" " * 19_999 + "c") * 20, "word  " * 1_000]
+    for t in texts:
+        began = time.time()
+        assert encode(t).tolist() == slow.encode(t, add_special_tokens=False).ids
+        assert time.time() - began < 30
+    got = packing.pack_documents(documents(list(enumerate(texts)))).groupBy("doc_id").agg(F.sum(F.length("ids") / 4).alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert len(got) == len(texts)
+    assert all(r["n"] == r["all"] for r in got)
+
+
 def test_little_padding(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").coalesce(1)
     seq = packing.op9_pack_documents(spark, "/root/testdata/sf0.001").groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()

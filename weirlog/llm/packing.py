@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +25,10 @@ LONGEST, HARD_STEP = 512, 256
 #: Tokens gathered before the dynamic program runs; what its last windows hold is carried on.
 BUFFER = 64 * WINDOW
 FLUSH_BYTES = 4 << 20
+#: Texts with longer words or runs of white space go through the tokenizer file: the rank encoder takes
+#: time with the square of a piece's length, and gives up on very long ones.
+LONGEST_PIECE = 400
+_BLANKS = re.compile(r"\s{%d}" % LONGEST_PIECE)
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
@@ -31,8 +36,8 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.bi
 def _tokenizer(path: str, ranks_path: str, pattern: str):
     """(encode, ends): a text's ids as an array; for each id, whether a sentence ends with it.
 
-    The rank file holds the same vocabulary for a faster encoder; texts that contain an added token's string go
-    through the tokenizer file itself, whose rules for it differ.
+    The rank file holds the same vocabulary for a faster encoder. Texts that contain an added token's string, whose
+    rules differ, texts with long pieces, and whatever the faster encoder refuses go through the tokenizer file.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -47,13 +52,21 @@ def _tokenizer(path: str, ranks_path: str, pattern: str):
         ends[i] = token[-1:] in (b".", b"!", b"?", b"\n")
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in special):
-            return np.asarray(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        return np.asarray(fast.encode_to_numpy(text), dtype=np.uint32)
+        if not any(s in text for s in special) and not _long_pieces(text):
+            try:
+                return np.asarray(fast.encode_to_numpy(text), dtype=np.uint32)
+            except Exception:  # noqa: BLE001 - any refusal: the tokenizer file decides
+                pass
+        return np.asarray(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     return encode, ends
 
 
+def _long_pieces(text: str) -> bool:
+    words = [len(w) for w in text.split()]
+    return max(words, default=0) > LONGEST_PIECE or (len(text) - sum(words) - len(words) > LONGEST_PIECE and _BLANKS.search(text) is not None)
+
+
 def _candidates(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places to cut after, as numbers of ids from the document's start, and their prices; the document's end is last."""
     n = len(ids)
