@@ -40,6 +40,27 @@ def test_composition_is_one_after_the_other():
             assert got == want
 
 
+def test_reports_hold_over_a_colon():
+    lexicon, machine = toxicity.Lexicon({"idiot": 2.0}, {}), toxicity.grammar()
+    at = toxicity.FEATURES.index
+    for text in ("he said you are an idiot", "he said: you are an idiot", "he wrote: this: you are an idiot", "note: he said: you idiot"):
+        x = toxicity.features(text, lexicon, machine)
+        assert x[at("reported")] > 0 and x[at("targeted")] == 0, text
+    for text in ("look: you are an idiot", "he said so. you are an idiot", "a: b: you idiot"):
+        x = toxicity.features(text, lexicon, machine)
+        assert x[at("targeted")] > 0 and x[at("reported")] == 0, text
+    long = "calm words and " * 20_000 + "you idiot"  # one clause
+    assert toxicity.features(long, lexicon, machine)[at("targeted")] > 0
+
+
+def test_long_texts_and_both_labels(spark, documents):
+    rows = [(i, f"text {i} plain") for i in range(1, 40)] + [(100, "idiot " * 20_000), (101, "you idiot")]
+    labels = spark.createDataFrame([(i, 0) for i in range(1, 40)] + [(100, 1), (101, 1), (101, 0), (101, 1)], "doc_id long, toxic int")
+    model = toxicity.train(documents(rows), labels, body=1_000)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(documents(rows), model).collect()}
+    assert len(got) == 41 and all(0 <= v <= 1 for v in got.values())
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     rows = toxicity.op8_toxicity(spark, sf).collect()

@@ -18,6 +18,8 @@ from .shingles import mix
 
 #: At most this many labelled rows of each class are learnt from, by the order of a hash of their ids.
 SAMPLE = 2_000
+#: Only texts of at most so many characters are learnt from; every text is scored whole.
+BODY = 50_000
 THRESHOLD = 0.3
 #: A word is an insult if enough unrelated toxic texts of the sample hold it and its log-odds, less SURE standard errors, reach this.
 LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS, SURE = 3, 0.005, 1.5, 1.64
@@ -32,7 +34,7 @@ NEGATIONS = "not no never none nor neither cannot nicht kein keine nie niemals p
 REPORTS = "said says wrote writes called quoted quote claimed reported according sagte sagt schrieb behauptete dit écrit déclaré dijo dice escribió".split()
 
 _WORD = re.compile(r"[^\W\d_]+")
-_CLAUSE = re.compile(r"[.!?;:\n]+")
+_CLAUSE = re.compile(r"[.!?;\n]+")
 FEATURES = ("plain", "targeted", "negated", "reported", "threat", "clauses", "strongest", "density")
 
 
@@ -124,6 +126,22 @@ class Lexicon:
         return bool(heads) and any(w[:n] in heads for w in words)
 
 
+def clauses_of(low: str, lexicon: Lexicon) -> Iterator[str]:
+    """Clauses of a lower-cased text. A colon ends one, unless a reporting word stands before it: what it reports comes after."""
+    for part in _CLAUSE.split(low):
+        if ":" not in part:
+            yield part
+            continue
+        held = ""
+        for piece in part.split(":"):
+            held = f"{held} {piece}"
+            if not any(lexicon.look(w)[0] == "R" for w in _WORD.findall(held)):
+                yield held
+                held = ""
+        if held:
+            yield held
+
+
 def features(text: str, lexicon: Lexicon, machine: Transducer) -> np.ndarray | None:
     """Feature values of a text, or None if no clause matches."""
     low = text.lower()
@@ -132,7 +150,7 @@ def features(text: str, lexicon: Lexicon, machine: Transducer) -> np.ndarray | N
         return None
     sums: dict[str, float] = defaultdict(float)
     clauses, top = 0, 0.0
-    for clause in _CLAUSE.split(low):
+    for clause in clauses_of(low, lexicon):
         state, hit = 0, 0.0
         for w in _WORD.findall(clause):
             symbol, weight = lexicon.look(w)
@@ -239,14 +257,17 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Learn from at most `sample` labelled, not held-out rows of each class; their number is what bounds the driver's share."""
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, body: int = BODY) -> Model:
+    """Learn from at most `sample` labelled, not held-out rows of each class; their number, and `body`, the most characters of each, bound the driver's share.
+
+    A document with rows of both labels gives one example for each; rows that repeat a label count once.
+    """
     lab = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out(F.col("doc_id")))
     counts = {r["y"]: r["count"] for r in lab.groupBy("y").count().collect()}
     order = [F.xxhash64(F.lit(5), F.col("doc_id")), F.col("doc_id")]
     picked = lab.where("y = 1").orderBy(*order).limit(sample).unionByName(lab.where("y = 0").orderBy(*order).limit(sample))
     text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = text.join(F.broadcast(picked.distinct()), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # one text an id, however often it comes
+    found = text.where(F.length("text") <= body).join(F.broadcast(picked.distinct()), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # one text an id, however often it comes
     rows = sorted((r["doc_id"], r["y"], r["text"]) for r in found.collect())
     total = sum(counts.values())
     if not rows or not counts.get(1):
