@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from html import unescape
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+import numpy as np
+
+#: Possessive, so that a match gives up where it stands: comments, declarations, tags.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+#: Tags of a page where a quote is never closed: they end at the first >.
+_LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>", re.S)
+_OPENS = re.compile(r"<(?=[!?]|/?[a-zA-Z])")
 _RAW = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in ("script", "style", "noscript", "template", "title", "textarea", "svg", "iframe", "xmp", "noframes")}
-_ATTR = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_ATTR = re.compile(r"""\b(?:class|id|role|itemprop)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)""", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "html body div section article main nav header footer aside p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption form fieldset legend "
     "blockquote pre figure figcaption address details summary menu hgroup center dialog".split()
 )
-_CLOSES_P = BLOCKS - {"html", "body"}
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"})}
 _CONTROLS = frozenset("input select textarea button label option".split())
 _HEAD = frozenset("meta link base title script style noscript template head html".split())
@@ -61,12 +67,39 @@ def _groups(attributes: str) -> tuple[int, ...]:
     return tuple(out)
 
 
+def _tokens(html: str) -> Iterator[tuple[int, re.Match | None]]:
+    """Tokens in page order, as (where the text before one begins, match); the reader may send where it went on.
+
+    No byte is read more often than a fixed number of times: a tag that fails means a quote that is never closed, after
+    which quotes count no more, or that no > follows, after which there is no token.
+    """
+    at = look = 0
+    pattern = _TOKEN
+    while True:
+        opens = _OPENS.search(html, look)
+        if opens is None:
+            yield at, None
+            return
+        m = pattern.match(html, opens.start())
+        if m is None and pattern is _TOKEN:
+            pattern = _LOOSE
+            m = pattern.match(html, opens.start())
+        if m is None:
+            yield at, None
+            return
+        moved = yield at, m
+        at = look = moved or m.end()
+
+
 def parse(html: str) -> tuple[Node, list[tuple[Node, str, int]]]:
-    """(root, runs): every run of text in page order with its node and how many of its characters are link text."""
+    """(root, runs): every run of text in page order with its node and how many of its characters are link text.
+
+    Reads a page in one pass, in time linear in its length: open elements are found by their tags' places on the stack.
+    """
     root = Node("body", None)
     here, stack, runs, text, links = root, [root], [], [], 0
-    opened: list[str] = []  # inline elements of interest since the block began
-    anchors, at, size = 0, 0, len(html)
+    anchors = 0
+    places: dict[str, list[int]] = {t: [] for t in BLOCKS}
 
     def flush() -> None:
         nonlocal links
@@ -84,37 +117,43 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str, int]]]:
         if anchors:
             links += len(s.strip())
 
-    while at < size:
-        m = _TOKEN.search(html, at)
+    def close(k: int) -> None:
+        """End the elements from place k on."""
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
+
+    def last(tags: frozenset | set) -> int:
+        return max(places[t][-1] if places[t] else -1 for t in tags)
+
+    tokens = _tokens(html)
+    moved: int | None = None
+    while True:
+        at, m = tokens.send(moved)
         if m is None:
             rest = html[at:]
             k = rest.rfind("<")
-            add(rest[:k] if k >= 0 and re.match(r"</?[a-zA-Z!]", rest[k:]) else rest)
+            add(rest[:k] if k >= 0 and _OPENS.match(rest, k) else rest)
             break
+        moved = None
         if m.start() > at:
             add(html[at : m.start()])
-        at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
             if tag in BLOCKS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        flush()
-                        del stack[k:]
-                        here = stack[-1]
-                        anchors = 0
-                        break
-                else:
-                    if tag != "body" and tag != "html":
-                        flush()
+                if places[tag]:
+                    flush()
+                    close(places[tag][-1])
+                    here = stack[-1]
+                    anchors = 0
+                elif tag != "body" and tag != "html":
+                    flush()
             elif tag == "a" and anchors:
                 anchors -= 1
             continue
         if tag in _RAW:
-            end = _RAW[tag].search(html, at)
-            at = end.end()
+            moved = _RAW[tag].search(html, m.end()).end()
             if tag == "textarea":
                 here.controls += 1
             continue
@@ -130,34 +169,21 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str, int]]]:
         if tag in BLOCKS:
             flush()
             anchors = 0
-            if tag in _CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        del stack[k:]
-                        break
-                    if stack[k].tag in ("td", "th", "table"):
-                        break
+            if stack[-1].tag == "p":  # every block ends a paragraph, so one can be open on top only
+                close(len(stack) - 1)
             if tag in _ENDS:
                 same, stop = _ENDS[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in stop:
-                        break
-                    if stack[k].tag in same:
-                        del stack[k:]
-                        break
-            node = Node(tag, stack[-1], _groups(m[3]))
-            stack[-1].kids.append(node)
-            if not m[3].endswith("/") or tag not in _VOID:
-                stack.append(node)
-            here = stack[-1]
-            continue
-        if tag == "a":
+                k = last(same)
+                if k > last(stop):
+                    close(k)
+            here = Node(tag, stack[-1], _groups(m[3]))
+            stack[-1].kids.append(here)
+            places[tag].append(len(stack))
+            stack.append(here)
+        elif tag == "a":
             anchors += 1
         elif tag in _CONTROLS:
             here.controls += 1
-        elif tag == "img" or tag in _VOID:
-            continue
-        del opened[:]
     flush()
     return root, runs
 
@@ -166,8 +192,8 @@ def _marks(s: str) -> int:
     return s.count(".") + s.count(",") + s.count(";") + s.count("!") + s.count("?")
 
 
-def nodes_of(html: str) -> tuple[list[Node], list[tuple[Node, str]], list[list[float]]]:
-    """(nodes, runs, features), nodes in page order, parents before children; each run names the node that decides on it."""
+def nodes_of(html: str) -> tuple[list[Node], list[tuple[Node, str]], np.ndarray]:
+    """(nodes, runs, features), nodes with text in page order, parents before children; each run names the node that decides on it."""
     root, found = parse(html)
     runs: list[tuple[Node, str]] = []
     total = 0
@@ -211,17 +237,20 @@ def nodes_of(html: str) -> tuple[list[Node], list[tuple[Node, str]], list[list[f
             up.p_chars += node.p_chars
             up.items += node.items
             up.controls += node.controls
-    rows: list[list[float]] = []
+    order = [n for n in order if n.chars or n is root]
+    rows = np.empty((len(order), N_FEATURES), dtype=np.float32)
     inherited: dict[int, tuple[int, int]] = {}
     whole = max(total, 1)
     log = math.log1p
     n_tags, n_words = len(TAG_GROUPS), len(WORD_GROUPS)
     place: dict[int, tuple[int, int, float, float]] = {}
-    for node in order:
+    for at, node in enumerate(order):
         if node.kids:
             k = len(node.kids)
             mean = sum(x.chars for x in node.kids) / k
             for i, x in enumerate(node.kids):
+                if not x.chars:
+                    continue
                 place[id(x)] = (i, k, mean, sum(y.tag == x.tag for y in node.kids[max(0, i - 2) : i + 3]) - 1.0)
         i, k, mean, alike = place.get(id(node), (0, 1, float(node.chars), 0.0))
         c = max(node.chars, 1)
@@ -245,6 +274,6 @@ def nodes_of(html: str) -> tuple[list[Node], list[tuple[Node, str]], list[list[f
                     own[n_tags + n_words + g] = 1.0
         row += own
         row += [1.0 if above_tags >> g & 1 else 0.0 for g in _ANCESTORS]
-        rows.append(row)
+        rows[at] = row
         inherited[id(node)] = (above_tags | (1 << tag if tag >= 0 else 0), above_words | words)
     return order, runs, rows

@@ -274,9 +274,9 @@ def train(pages: int = TRAINING_PAGES, seed: int = 11) -> Boosted:
             n.label = int(id(n) in good or any(k.label for k in n.kids))
         plain, _, rows = nodes_of(html.replace(maker.MARK, ""))
         if len(plain) == len(marked):
-            xs += rows
+            xs.append(rows)
             ys += [n.label for n in marked]
-    return boost(np.array(xs).reshape(-1, N_FEATURES), np.array(ys, dtype=float))
+    return boost(np.concatenate([np.zeros((0, N_FEATURES), np.float32), *xs]).astype(np.float64), np.array(ys, dtype=float))
 
 
 def decode(nodes: list[Node], odds: np.ndarray) -> set[int]:
@@ -299,8 +299,9 @@ def decode(nodes: list[Node], odds: np.ndarray) -> set[int]:
 def extract(pages: list[str], model: Boosted) -> list[str]:
     """Main texts of whole pages."""
     parsed = [nodes_of(h) for h in pages]
-    x = np.array([row for _, _, rows in parsed for row in rows], dtype=np.float32).astype(np.float64).reshape(-1, N_FEATURES)
-    odds, at, out = model.log_odds(x), 0, []
+    x = np.concatenate([np.zeros((0, N_FEATURES), np.float32), *(rows for _, _, rows in parsed)])
+    odds = np.concatenate([np.zeros(0), *(model.log_odds(x[k : k + BATCH].astype(np.float64)) for k in range(0, len(x), BATCH))])
+    at, out = 0, []
     for nodes, runs, rows in parsed:
         kept = decode(nodes, odds[at : at + len(rows)])
         at += len(rows)
