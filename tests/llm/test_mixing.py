@@ -65,3 +65,14 @@ def test_quality_draws_more(spark, documents):
 
 def test_empty_table(spark, documents):
     assert mixing.mix_sources(documents([]), carry=True).count() == 0
+
+
+def test_buckets_are_even(spark):
+    """A tenth of the documents at the least weight and the rest at 0.8, or weights all over: no bucket is much larger than the others."""
+    for w in (F.when(F.col("id") % 10 == 0, 0.05).otherwise(0.8), 0.05 + 0.95 * F.rand(3), F.lit(0.7)):
+        d = spark.range(200_000).select(F.lit("a").alias("source"), F.lit(1).alias("size"), w.alias("w"), (-F.log(F.rand(5))).alias("e")).withColumn("key", F.col("e") / F.col("w"))
+        sources = mixing._sources(d).withColumn("buckets", F.lit(200))
+        n = [r["count"] for r in d.join(F.broadcast(sources.drop("source_size")), "source").withColumn("bucket", mixing._bucket()).groupBy("bucket").count().collect()]
+        assert sum(n) == 200_000
+        assert len(n) == 200
+        assert max(n) <= 2 * sorted(n)[100]

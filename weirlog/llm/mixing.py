@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +12,8 @@ from .common import dimension, same, stage, word_count
 
 #: About as many documents share one bucket of a source's key space; a bucket is the unit that one task sorts.
 BUCKET_ROWS = 1_000
+#: Steps a unit in which weights are told apart where buckets are cut.
+GRAIN = 100
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 SEED = 17
@@ -44,6 +46,18 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epoch
     return t.select("source", "source_size", target.alias("target"))
 
 
+def _sources(d: DataFrame) -> DataFrame:
+    """(source, source_size, n, rates): rates are the different weights, in steps of 1/GRAIN, and their documents."""
+    shares = d.groupBy("source", F.round(F.col("w") * GRAIN).alias("step")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.avg("w").alias("rate"))
+    return shares.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("rate", "n"))).alias("rates"))
+
+
+def _bucket() -> Column:
+    """The bucket of a key: the share of its source's documents whose keys are expected to be smaller, times the buckets."""
+    above = F.aggregate("rates", F.lit(0.0), lambda a, r: a + r["n"] * F.exp(-F.col("key") * r["rate"])) / F.col("n")
+    return F.greatest(F.least(F.floor((1 - above) * F.col("buckets")), F.col("buckets") - 1), F.lit(0)).cast("long")
+
+
 def mix_sources(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, cut: bool = True, carry: bool = False,
@@ -55,8 +69,9 @@ def mix_sources(
     is left. With cut, the document at the budget's edge gives just the words that are missing; without, it is taken
     whole if at least half of it lies within.
 
-    A source's key range is split into buckets of equal expected size: bucket totals are summed first (one row a
-    bucket), then each bucket is sorted in its own task, so no task holds a whole source.
+    A source's key range is split into buckets of equal expected size, by the keys' distribution under the source's own
+    weights (in steps of 1/GRAIN): bucket totals are summed first (one row a bucket), then each bucket is sorted in its
+    own task, so no task holds a whole source.
 
     Null text: size 0, taken 0. Null source: a source of its own, last in order. Null and repeated ids: rows with equal
     key, id and size are interchangeable; each is counted. Empty table: no rows. Other columns are not read.
@@ -68,8 +83,7 @@ def mix_sources(
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("size").cast("string"))), 1, 13), 16, 10)
     d = d.withColumn("key", -F.log((draw.cast("double") + 0.5) / float(2**52)) / F.col("w"))
     d = stage(d, "mix")
-    by = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.round(F.avg("w"), 6).alias("rate"))
-    by = stage(by, "mixsrc")
+    by = stage(_sources(d), "mixsrc")
     t = source_targets(by.select("source", "source_size"), weights, max_epochs)
     t = t.withColumnRenamed("source", "d_source")
     plan = by.join(t.drop("source_size"), by["source"].eqNullSafe(t["d_source"])).drop("d_source")
@@ -79,8 +93,7 @@ def mix_sources(
     plan = stage(plan.withColumn("buckets", F.ceil(F.col("n") / BUCKET_ROWS).cast("long")), "mixplan")
     dim = dimension(plan.withColumnRenamed("source", "d_source"))
     d = d.join(dim, same(d, dim, "source")).drop("d_source")
-    part = F.least(F.floor((1 - F.exp(-F.col("key") * F.col("rate"))) * F.col("buckets")), F.col("buckets") - 1).cast("long")
-    d = d.withColumn("bucket", part)
+    d = d.withColumn("bucket", _bucket()).drop("rates")
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("base", F.sum("words").over(W.partitionBy("source").orderBy("bucket")) - F.col("words"))
     sums = sums.select(F.col("source").alias("d_source"), F.col("bucket").alias("d_bucket"), "base")
