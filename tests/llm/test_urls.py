@@ -1,3 +1,4 @@
+import random
 from urllib.parse import urlsplit
 
 from weirlog.llm import urls
@@ -63,5 +64,41 @@ def test_long_chains_and_many_seeds_reach_all(spark):
     assert all(got[i]["verdict"] == "block" and got[i]["distrust"] > 0 for i in range(25))
 
 
+def test_made_link_graph_with_a_hub(spark):
+    """Ports, user names, a hub that a third of the hosts link to, repeated rows, tied ranks and a long page, against plain iteration."""
+    r = random.Random(6)
+    link = lambda h: f'<a href="https://{h}/x">t</a>'
+    hosts = [f"h{i}.info" for i in range(60)] + ["hub.info", "good.net", "bad.com"]
+    rows, edges, seeds = [], {}, {"good.net": 0, "bad.com": 0}
+    for i in range(400):
+        a = r.choice(hosts[:60])
+        if i % 40 == 0:
+            a = ("good.net", "bad.com")[i // 40 % 2]
+        to = set(r.sample(hosts, r.randint(0, 3))) | ({"hub.info"} if i % 3 == 0 else set())
+        path = {"good.net": "/de/1", "bad.com": "/en/1"}.get(a, "/p")
+        rows.append((i, f"http://{a}{':8080' if i % 5 == 0 else ''}{path}", " ".join(link(("u@" if i % 2 else "") + h + (":443" if i % 7 == 0 else "")) for h in sorted(to))))
+        seeds[a] = seeds.get(a, 0) + 1
+        for b in to - {a}:
+            edges[a, b] = edges.get((a, b), 0) + 1
+    again = [x for x in rows[:20]]
+    for i, u, html in again:
+        a = u.split("//")[1].split("/")[0].split(":")[0]
+        seeds[a] += 1
+        for b in {x for x in hosts if f"{x}/x" in html or f"{x}:443/x" in html} - {a}:
+            edges[a, b] += 1
+    rows += again + [(900, "http://long.info/1", "<p>" + "words " * 200_000 + link("twin1.info") + link("twin2.info"))]
+    edges["long.info", "twin1.info"] = edges["long.info", "twin2.info"] = 1
+    got = urls.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), rules=[("allow", "good.net", "/"), ("block", "bad.com", "/"), ("allow", "good.net:8080", "/"), ("block", "bad.com:8080", "/")]).collect()
+    assert len(got) == len(rows)
+    trust, distrust = rank(edges, {"good.net": 1.0}, rounds=100), rank({(b, a): n for (a, b), n in edges.items()}, {"bad.com": 1.0}, rounds=100)
+    for x in got:
+        h = x["host"].split(":")[0]
+        assert abs(x["trust"] - trust.get(h, 0)) < 1e-3
+        assert abs(x["distrust"] - distrust.get(h, 0)) < 1e-3
+        if x["rule"] is None and abs(trust.get(h, 0) - distrust.get(h, 0)) > 1e-3:
+            assert x["verdict"] == ("block" if distrust.get(h, 0) > trust.get(h, 0) else "allow")
+    assert any(":8080" in x["host"] and x["distrust"] > 0 for x in got)
+
+
 def test_empty_table(spark):
     assert verdicts(spark, []) == {}

@@ -61,11 +61,15 @@ def _spread(edges: DataFrame, seeds: DataFrame, rounds: int | None, damping: flo
     return rank.select("host", (F.col("rank") / F.lit(float(total or 1.0))).alias("rank"))
 
 
+def graph_host(host: Column) -> Column:
+    """A host as a node of the link graph: without user name and port."""
+    return F.translate(F.regexp_replace(host, r"^[^@]*+@|:\d*+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
-    """Links between different hosts, (a, b, n); pages has host and html."""
-    links = pages.select("host", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)))).alias("to"))
-    to = F.translate(F.regexp_replace("to", r"^[^@]*@|:\d*$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return links.select(F.col("host").alias("a"), to.alias("b")).where("a <> b and a <> '' and b <> ''").groupBy("a", "b").agg(F.count("*").alias("n"))
+    """Links between different hosts, (a, b, n); pages has node and html."""
+    links = pages.select(F.col("node").alias("host"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)))).alias("to"))
+    return links.select(F.col("host").alias("a"), graph_host(F.col("to")).alias("b")).where("a <> b and a <> '' and b <> ''").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def url_filter(
@@ -77,18 +81,18 @@ def url_filter(
     Seeds are the hosts of pages that rules decide: allowed pages give a host trust, blocked ones distrust, in
     proportion to their number. Trust follows links forwards, distrust backwards (who links to blocked hosts), both as
     personalised PageRank with restarts. A host is blocked when its distrust exceeds `times` its trust; a host that
-    neither reaches is allowed. Hosts are counted before anything is spread, each round is staged, and the loop ends
+    neither reaches is allowed. In the graph a host stands without user name and port. Hosts are counted before anything is spread, each round is staged, and the loop ends
     when no host is newly reached and no rank grows by a share of SETTLED.
 
     Null url, or one without ://: host and path empty, allowed. Null html: no links. Repeated rows count each. Empty
     table: no rows. Returns (page_id, host, path, rule, verdict, trust, distrust).
     """
     host, path = split_url(F.col(url_col))
-    p = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
+    p = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html")).withColumn("node", graph_host(F.col("host")))
     rule, said = _matched(F.col("host"), F.col("path"), rules)
     edges = stage(host_edges(p), "urledges")
     p = p.drop("html").withColumns({"rule": rule, "said": said})
-    seeds = p.where("host <> '' and said is not null").groupBy("host").agg(F.count_if(F.col("said") == "allow").alias("good"), F.count_if(F.col("said") == "block").alias("bad"))
+    seeds = p.where("node <> '' and said is not null").groupBy(F.col("node").alias("host")).agg(F.count_if(F.col("said") == "allow").alias("good"), F.count_if(F.col("said") == "block").alias("bad"))
     seeds = stage(seeds, "urlseeds")
     total = seeds.agg(F.sum("good"), F.sum("bad")).first()
     side = lambda name, n: seeds.where(F.col(name) > 0).select("host", (F.col(name) / F.lit(float(n or 1))).alias("seed"))
@@ -96,9 +100,9 @@ def url_filter(
     back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")
     distrust = _spread(back, side("bad", total[1]), rounds, damping)
     ranks = trust.select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("rank").alias("distrust")))
-    ranks = stage(ranks.groupBy(F.col("host").alias("d_host")).agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "urlranks")
+    ranks = stage(ranks.groupBy(F.col("host").alias("d_node")).agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "urlranks")
     dim = dimension(ranks)
-    p = p.join(dim, same(p, dim, "host"), "left").drop("d_host")
+    p = p.join(dim, same(p, dim, "node"), "left").drop("d_node")
     p = p.withColumns({"trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
     own = F.when(F.col("distrust") > times * F.col("trust"), F.lit("block")).otherwise(F.lit("allow"))
     return p.select("page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "trust", "distrust")
