@@ -42,6 +42,14 @@ def test_odd_vectors(spark, clash):
     assert found(df.repartition(3)) == brute(rows)
 
 
+def test_different_vectors_under_one_id(spark):
+    """One row a vector; vectors that share an id keep their own links and components."""
+    rows = [(1, [1.0, 0.0, 0.0], 1), (2, [1.0, 0.01, 0.0], 1), (2, [0.0, 1.0, 0.0], 1), (3, [0.0, 1.0, 0.01], 1), (3, [0.0, 0.0, 1.0], 1), (3, [0.0, 0.0, 1.0], 1), (4, [0.0, 1.0, 0.0], 1)]
+    got = vectors.vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == sorted([(1, 1, 1), (2, 1, 1), (2, 2, 2), (3, 2, 2), (3, 1, 3), (3, 1, 3), (4, 2, 2)])
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+
+
 def test_empty_table(spark):
     assert vectors.vector_links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 

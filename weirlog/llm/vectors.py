@@ -236,20 +236,21 @@ def vector_links(
     a unit of work returns link counts and joining links only. Lists longer than BLOCK are compared block by block.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and vectors without a label, link with
-    nothing. Vectors of different lengths do not link. Null ids: no links, own row. Rows that repeat an id count as
-    vectors of their own. Empty table: no rows. Other columns are not read.
+    nothing. Vectors of different lengths do not link. Null ids: no links, own row. Rows that repeat an id are
+    vectors of their own, each with its row, whether their vectors are equal or not. Empty table: no rows. Other columns are not read.
     Returns (vec_id, n_links, component_id, kept).
     """
     spark = vectors.sparkSession
     ship(spark)
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     kind = v.schema["label"].dataType.simpleString()
-    base = stage(v.mapInArrow(_clean, f"vec_id long, label {kind}, v binary"), "pqbase")
+    base = stage(v.mapInArrow(_clean, f"vec_id long, label {kind}, v binary").withColumn("nth", F.monotonically_increasing_id()), "pqbase")
     good = base.where("v is not null and vec_id is not null")
-    classes = stage(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "pqclass")
+    # a class goes by its first row's number: ids may repeat
+    classes = stage(good.groupBy("label", "v").agg(F.min("nth").alias("rep"), F.min("vec_id").alias("least"), F.count("*").alias("n")), "pqclass")
     total = classes.count()
     picked: dict[int, list[bytes]] = {}
-    for r in classes.orderBy(F.xxhash64(F.lit(3), "rep"), "rep").limit(sample).select("v").collect():
+    for r in classes.orderBy(F.xxhash64(F.lit(3), "least"), "least", "v").limit(sample).select("v").collect():
         picked.setdefault(len(r["v"]), []).append(bytes(r["v"]))
     lists = max(1, min(MAX_LISTS, math.isqrt(total) // 2))
     models = {size: fit(_matrix(rows), lists) for size, rows in picked.items() if len(rows) >= 2 * CODES}
@@ -274,14 +275,16 @@ def vector_links(
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     joined = components(found.where("b is not null"), "a", "b").withColumnRenamed("node", "rep")
     named = classes.join(counts, "rep", "left").join(joined, "rep", "left")
-    named = named.select(F.col("label").alias("d_label"), F.col("v").alias("d_v"), F.coalesce("root", "rep").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links"), "n", "rep")
+    named = named.select(F.col("label").alias("d_label"), F.col("v").alias("d_v"), F.coalesce("root", "rep").alias("root"), "least", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links"), "n", "rep")
     named = stage(named.where("n > 1 or links > 0"), "pqnamed")
-    # rows of classes with copies find their class by the vector, the others by their id
-    many, one = named.where("n > 1"), named.where("n = 1").select(F.col("rep").alias("d_vec_id"), F.col("component").alias("c1"), F.col("links").alias("n1"))
+    least = stage(named.groupBy(F.col("root").alias("d_root")).agg(F.min("least").alias("component")), "pqleast")
+    named = named.join(least, F.col("root") == F.col("d_root"))
+    # rows of classes with copies find their class by the vector, the others by their number
+    many, one = named.where("n > 1"), named.where("n = 1").select(F.col("rep").alias("d_nth"), F.col("component").alias("c1"), F.col("links").alias("n1"))
     rows = base.withColumn("usable", F.col("v").isNotNull() & F.col("vec_id").isNotNull())
     many = many.select("d_label", "d_v", F.col("component").alias("c2"), F.col("links").alias("n2"))
     rows = rows.join(many, (rows["label"] == many["d_label"]) & (rows["v"] == many["d_v"]) & rows["usable"], "left")
-    rows = rows.join(one, (rows["vec_id"] == one["d_vec_id"]) & rows["usable"] & rows["c2"].isNull(), "left")
+    rows = rows.join(one, (rows["nth"] == one["d_nth"]) & rows["c2"].isNull(), "left")
     component = F.coalesce("c2", "c1", "vec_id")
     return rows.select("vec_id", F.coalesce("n2", "n1", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
