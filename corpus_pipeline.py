@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from threading import get_ident
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from weirlog.llm import minhash, mixing, packing, suffixes, toxicity
 from weirlog.llm.common import collecting, drop_staged, shared_dir, stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_left: list[str] = []
+#: What the last stage of a run has staged, by thread and tables.
+_left: dict[tuple[int, str], list[str]] = {}
 
 
 def _tidy(step: Stage) -> Stage:
@@ -21,8 +23,9 @@ def _tidy(step: Stage) -> Stage:
 
     @wraps(step)
     def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_staged(spark, _left)
-        with collecting(_left):
+        left = _left.setdefault((get_ident(), sf_dir), [])
+        drop_staged(spark, left)
+        with collecting(left):
             return step(spark, docs, sf_dir)
 
     return run_step
@@ -35,16 +38,40 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return toxicity.without_toxic(docs, model)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """docs' ids and texts, (weirlog_id, weirlog_text, t1, t2): t1 and t2 hash a text, ids that come with several texts get new ones.
+
+    Ids are unique afterwards but for rows with equal texts. New ones are counted in the order of the old ones, so the
+    smallest still goes with the smallest.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.where("doc_id is not null").select("doc_id", F.col("text").alias("weirlog_text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+    several = rows.groupBy("doc_id").agg(F.min(F.struct("t1", "t2")).alias("a"), F.max(F.struct("t1", "t2")).alias("z")).where("a <> z").limit(1).count()
+    if not several:
+        return rows.withColumn("weirlog_id", F.col("doc_id"))
+    ids = rows.select("doc_id", "t1", "t2").distinct().orderBy("doc_id", "t1", "t2").withColumn("weirlog_id", F.monotonically_increasing_id())
+    return rows.join(stage(ids, "newids"), ["doc_id", "t1", "t2"])
+
+
 @_tidy
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the smallest id; documents without an id stay."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("weirlog_id")).distinct()
-    kept = stage(kept, "keptids")
-    named = docs.where("doc_id is not null")
-    out = named.join(kept, named["doc_id"] == kept["weirlog_id"], "left_semi")
-    # ids that come twice in docs: one row of each stays
-    if named.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
+    """One document of each class of near-duplicates, the one with the smallest id; documents without an id stay.
+
+    Different texts under one id are documents of their own. Of rows that repeat id and text, the first stays in the order
+    of their other columns.
+    """
+    named = _named(docs)
+    kept = minhash.near_duplicates(named, id_col="weirlog_id", text_col="weirlog_text").where("kept").select(F.col("doc_id").alias("weirlog_id")).distinct()
+    kept = stage(named.select("weirlog_id", F.col("doc_id").alias("k_id"), "t1", "t2").join(kept, "weirlog_id").groupBy("k_id", "t1", "t2").agg(F.count("*").alias("weirlog_n")), "keptids")
+    text = F.coalesce("text", F.lit(""))
+    is_kept = (docs["doc_id"] == kept["k_id"]) & (F.xxhash64(text) == kept["t1"]) & (F.xxhash64(F.lit(1), text) == kept["t2"])
+    out = docs.where("doc_id is not null").join(kept.where("weirlog_n = 1"), is_kept, "left_semi")
+    again = kept.where("weirlog_n > 1")
+    if again.limit(1).count():
+        rows = docs.where("doc_id is not null").join(again, is_kept, "left_semi")
+        others = [c for c in docs.columns if c not in ("doc_id", "text")]
+        whole = rows.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in others])).alias("order"))
+        out = out.unionByName(whole.groupBy("doc_id", "text").agg(F.min_by("row", "order").alias("row")).select("row.*"))
     return out.unionByName(docs.where("doc_id is null"))
 
 
