@@ -62,3 +62,23 @@ def test_run_and_empty(spark, tmp_path):
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_different_texts_under_one_id_stay(spark, tmp_path):
+    r = random.Random(2)
+    a, b, c, d = (" ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for _ in range(4))
+    rows = [(1, a, "s"), (2, a + " x", "s"), (2, b, "t"), (3, b + " y", "s"), (5, c, "z"), (5, c, "a"), (5, d, "s"), (6, d, "s"), (7, None, "s"), (7, "", "s"), (None, a, "s")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(4).write.parquet(f"{tmp_path}/d")
+    want = sorted([(1, a, "s"), (2, b, "t"), (5, c, "a"), (5, d, "s"), (7, None, "s"), (7, "", "s"), (None, a, "s")], key=repr)
+    for _ in range(2):
+        got = corpus_pipeline.without_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/d"), str(tmp_path)).collect()
+        assert sorted(((x["doc_id"], x["text"], x["source"]) for x in got), key=repr) == want
+
+
+def test_words_taken_with_repeated_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(k % 3, " ".join(f"w{k}" for _ in range(k % 5 + 1)), "en", "abc"[k % 3], 1) for k in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mixed(spark, docs, str(tmp_path)).collect()
+    assert {tuple(x) for x in got} <= {tuple(x) for x in docs.collect()}
+    words = sum(len(x["text"].split()) for x in docs.collect())
+    assert abs(sum(len(x["text"].split()) for x in got) - words) <= 15
