@@ -294,3 +294,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: All pairs that share a shingle; the similarity by running sums in the order of the weights' ratios.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+c AS (SELECT doc_id, w, CASE WHEN len(w) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) END AS copy_id FROM d),
+p AS (SELECT doc_id, w, unnest(CASE WHEN len(w) < 5 THEN [1] ELSE range(1, len(w) - 3) END) AS i FROM c WHERE doc_id = copy_id AND len(w) > 0),
+s AS (SELECT doc_id, array_to_string(w[i : i + 4], ' ') AS g, 1 + ln(count(*)) AS x FROM p GROUP BY ALL),
+t AS (SELECT doc_id, sum(x) AS total FROM s GROUP BY doc_id),
+b AS (SELECT l.doc_id AS a, r.doc_id AS b, l.x AS u, r.x AS v FROM s l JOIN s r ON l.g = r.g AND l.doc_id < r.doc_id),
+m AS (SELECT a, b, sum(u) AS su, sum(v) AS sv FROM b GROUP BY a, b),
+q AS (
+  SELECT b.a, b.b, u, v, su, sv,
+    sum(u) OVER (PARTITION BY b.a, b.b ORDER BY u / v DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS up,
+    sum(v) OVER (PARTITION BY b.a, b.b ORDER BY u / v DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS down
+  FROM b JOIN m ON m.a = b.a AND m.b = b.b),
+z AS (
+  SELECT q.a, q.b FROM q JOIN t x ON x.doc_id = q.a JOIN t y ON y.doc_id = q.b GROUP BY q.a, q.b
+  HAVING sum(1 / ((x.total - su + up) / u + (y.total - sv + sv - down) / v)) >= 0.8),
+links AS (SELECT a, b FROM z UNION ALL SELECT b, a FROM z),
+reach(n, r) AS (
+  SELECT DISTINCT copy_id, copy_id FROM c
+  UNION
+  SELECT reach.n, links.b FROM reach JOIN links ON reach.r = links.a),
+k AS (SELECT n, min(r) AS class_id FROM reach GROUP BY n)
+SELECT c.doc_id, k.class_id, c.copy_id, c.doc_id = k.class_id AS kept FROM c JOIN k ON k.n = c.copy_id
+"""

@@ -16,4 +16,12 @@ QUERIES = {
     "op9_pack_documents": packing.op9_pack_documents,
     "op10_probminhash": minhash.op10_probminhash,
 }
-ORACLE_SQL = {"op1_mix_sources": mixing.SQL, "op4_warc_packages": archives.SQL}
+#: On larger tables those of op3, op7 and op10 take long: they look at all pairs of a label, all windows, all pairs with a shingle.
+ORACLE_SQL = {
+    "op1_mix_sources": mixing.SQL,
+    "op3_vector_links": vectors.SQL,
+    "op4_warc_packages": archives.SQL,
+    "op6_url_filter": urls.SQL,
+    "op7_suffix_dedup": suffixes.SQL,
+    "op10_probminhash": minhash.SQL,
+}

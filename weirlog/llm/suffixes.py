@@ -572,3 +572,23 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     r = remove_repeats(docs)
     return r.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window of 100 bytes as a string of hex digits, cut from pieces of 500 starts.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+o AS (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99, 500)) AS base FROM d WHERE len(x) >= 200),
+a AS (SELECT doc_id, base, least(500, len(x) // 2 - 99 - base) AS n, substr(x, 2 * base + 1, 1198) AS part FROM o),
+w AS (SELECT doc_id, base, part, unnest(range(0, n)) AS k FROM a),
+n AS (SELECT doc_id, base + k AS i, row_number() OVER (PARTITION BY substr(part, 2 * k + 1, 200) ORDER BY doc_id, base + k) AS nth FROM w),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM n WHERE nth > 1),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+s AS (SELECT doc_id, min(i) AS b, max(i) + 100 AS e FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS last FROM s),
+j AS (
+  SELECT k.doc_id, sum(e - b) AS n_removed, count(*) AS n_spans, max(e) AS tail, string_agg(substr(x, 2 * last + 1, 2 * (b - last)), '' ORDER BY b) AS head
+  FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN j.doc_id IS NULL THEN x ELSE head || substr(x, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN j ON j.doc_id = d.doc_id
+"""

@@ -110,3 +110,32 @@ def url_filter(
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+_CASE = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{{{n}}}'" for n, (_, h, p) in enumerate(sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r))))
+_LONGEST = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r))
+#: Ranks are path sums of up to 60 links; links are read from the pages as the query does.
+SQL = r"""
+WITH RECURSIVE u AS (
+  SELECT page_id, html,
+    coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path
+  FROM pages),
+p AS (SELECT page_id, html, host, path, regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':[0-9]*$', '') AS node, CASE @RULE END AS rule, CASE @SAID END AS said FROM u),
+l AS (SELECT node AS a, unnest(list_distinct(regexp_extract_all(html, '(?i)\b(?:href|src)\s*=\s*["'']?\s*(?:https?:)?//([^/"''?#\s>\\]+)', 1))) AS t FROM p),
+h AS (SELECT a, regexp_replace(regexp_replace(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[^@]*@', ''), ':[0-9]*$', '') AS b FROM l),
+e AS (SELECT a, b, count(*)::DOUBLE AS n FROM h WHERE a <> b AND a <> '' AND b <> '' GROUP BY a, b),
+ways AS (SELECT 'allow' AS side, a, b, n FROM e UNION ALL SELECT 'block', b, a, n FROM e),
+steps AS (SELECT side, a, b, 0.85 * n / sum(n) OVER (PARTITION BY side, a) AS share FROM ways),
+seeds AS (SELECT said AS side, node, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY said) AS seed FROM p WHERE said IS NOT NULL AND node <> '' GROUP BY said, node),
+rec(round, side, node, gain) AS (
+  SELECT 0, side, node, seed FROM seeds
+  UNION ALL
+  SELECT round + 1, rec.side, steps.b, sum(gain * share) FROM rec JOIN steps ON steps.side = rec.side AND steps.a = rec.node WHERE round < 60 GROUP BY round, rec.side, steps.b),
+ranks AS (SELECT side, node, sum(gain) / sum(sum(gain)) OVER (PARTITION BY side) AS rank FROM rec GROUP BY side, node)
+SELECT p.page_id, p.host, p.path, p.rule,
+  coalesce(p.said, CASE WHEN coalesce(d.rank, 0) > coalesce(t.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(t.rank, 0) AS trust, coalesce(d.rank, 0) AS distrust
+FROM p LEFT JOIN ranks t ON t.node = p.node AND t.side = 'allow' LEFT JOIN ranks d ON d.node = p.node AND d.side = 'block'
+"""
+SQL = SQL.replace("@RULE", _CASE.format(*[h + p for _, h, p in _LONGEST])).replace("@SAID", _CASE.format(*[w for w, _, _ in _LONGEST]))
