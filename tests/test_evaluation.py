@@ -1,9 +1,11 @@
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from weirlog.operators import analysis, audit, metrics
+from weirlog.sources import readers
 
 
 def table(spark, templates, ids=None):
@@ -82,13 +84,23 @@ def test_claims(spark):
     assert audit.audit_claims(spark.createDataFrame([(none,)], "text string"), "The tool").count() == 0
 
 
-def test_run_assessment():
-    runs = [{"dataset": "HDFS", "protocol": audit.protocol(preprocess_mode="tuned", parameter_mode="uniform", sampling="full")}]
-    a = audit.assess_runs(runs, ["hdfs"])
-    assert a["complete_coverage"]
-    assert a["uses_dataset_specific_preprocessing"]
-    assert not a["uses_dataset_specific_parameters"]
-    assert not audit.assess_runs(runs)["complete_coverage"]
+def test_run_assessment(spark, tmp_path):
+    known = audit.protocol(spark, preprocess_mode="tuned", parameter_mode="uniform", sampling="full")
+    assert known["dataset_specific_preprocessing"] and not known["dataset_specific_parameters"] and not known["target_file_used_for_cache_initialization"]
+    assert known["evaluation_mode"] == "offline_batch_replay" and len(known["supported_claims"]) == 2 and len(known["unsupported_claims"]) == 4
+    for name, run in (("a", {"dataset": "HDFS", "protocol": known}), ("b", {"dataset": "BGL", "config": {"preprocess_mode": "tuned", "parameter_mode": "tuned"}, "sampling_protocol": "global_frequency_top_k_non_online"})):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "run_metadata.json").write_text(json.dumps(run))
+    one = audit.assess_runs(readers.read_runs(spark, f"{tmp_path}/a"), ["hdfs"]).first()
+    assert one["complete_coverage"] and one["record_count"] == 1 and one["datasets"] == ["HDFS"]
+    assert one["uses_dataset_specific_preprocessing"] and one["uses_target_file_for_template_generation"]
+    assert not one["uses_dataset_specific_parameters"] and not one["uses_complete_file_cache_pretraining"]
+    assert one["reason"] == "The evaluated target file is used to generate templates; no held-out-system or chronological split is present."
+    both = audit.assess_runs(readers.read_runs(spark, str(tmp_path))).first()
+    assert not both["complete_14_dataset_coverage"] and both["datasets"] == ["BGL", "HDFS"]
+    assert both["uses_dataset_specific_parameters"] and both["uses_complete_file_cache_pretraining"]
+    assert both["claim_verdict"]["dataset_aware_offline_batch_replay"] and not both["claim_verdict"]["zero_shot_transfer"]
+    assert "initialize the frequency cache" in both["reason"]
 
 
 def test_inventory(spark):

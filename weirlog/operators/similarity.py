@@ -14,10 +14,8 @@ def jaccard_distance(a: Column, b: Column) -> Column:
 
 
 def pair_distances(df: DataFrame) -> DataFrame:
-    """(bucket, i, j, d) for all pairs i < j of a bucket: training items, so a bucket is bounded by their number.
-
-    Pairs that share a token are found by an equi-join on bucket and token; the rest of a bucket's pairs are at 1.
-    """
+    """(bucket, i, j, d) for all pairs i < j of a bucket, by a join on the bucket: the items are a model's training strings,
+    whose number is bounded, and complete linkage needs every distance."""
     sets = df.select("bucket", "idx", F.array_distinct("tokens").alias("set"))
     left = sets.select("bucket", F.col("idx").alias("i"), F.col("set").alias("a"))
     right = sets.select(F.col("bucket").alias("b2"), F.col("idx").alias("j"), F.col("set").alias("b"))

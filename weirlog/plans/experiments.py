@@ -82,8 +82,8 @@ def run_dataset(spark: SparkSession, source: str, dataset: str, cell: str, out:
     counts = parsed.groupBy("source").count().collect()
     record = {
         "run_id": run_id, "dataset": dataset, "quadrant": cell, "config_hash": audit.stable_hash(config), "config": config, "rows": n, "preprocessed_sha256": digest, "sampling_protocol": sampling,
-        "protocol": audit.protocol(preprocess_mode=config["preprocess_mode"], parameter_mode=config["parameter_mode"], sampling=sampling),
-        "bucket_count": None, "cluster_count": model.assigned.select("cluster_id").distinct().count(), "template_count": model.events.count(),
+        "protocol": audit.protocol(spark, preprocess_mode=config["preprocess_mode"], parameter_mode=config["parameter_mode"], sampling=sampling),
+        "bucket_count": bucket_statistics(rows, s).first()["buckets"], "cluster_count": model.assigned.select("cluster_id").distinct().count(), "template_count": model.events.count(),
         "cache": {r["source"]: r["count"] for r in counts}, "timing_seconds": clock, "prediction_path": path, "metrics": {**score, "alignment": {"missing_line_ids": [], "extra_line_ids": []}}, "created_at": datetime.now(UTC).isoformat(),
     }
     put_text(spark, f"{out}/run_metadata.json", json.dumps(record, indent=2, ensure_ascii=False))

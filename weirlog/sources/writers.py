@@ -39,17 +39,28 @@ def upsert(old: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str]) -> None:
-    """Upsert into a Parquet table at path: the result is written beside it and takes its place when it is whole."""
+    """Upsert into a Parquet table at path: the result is written beside it and takes its place when it is whole.
+
+    The old table is moved aside first and deleted last; a stop between leaves it at `path` + "-old", where the next
+    call finds it.
+    """
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path
-    target, beside = hadoop(path), hadoop(f"{path}-{uuid.uuid4().hex}")
+    target, beside, aside = hadoop(path), hadoop(f"{path}-{uuid.uuid4().hex}"), hadoop(f"{path}-old")
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(aside):  # an earlier call was stopped
+        if fs.exists(target):
+            fs.delete(aside, True)
+        elif not fs.rename(aside, target):
+            raise OSError(f"could not move the old table back to {path}")
     old = spark.read.parquet(path) if fs.exists(target) else None
     upsert(old, new, keys).write.parquet(beside.toString())
-    if old is not None:
-        fs.delete(target, True)
+    if old is not None and not fs.rename(target, aside):
+        raise OSError(f"could not move the old table at {path} aside")
     if not fs.rename(beside, target):
         raise OSError(f"could not move the new table to {path}")
+    if old is not None:
+        fs.delete(aside, True)
 
 
 def write_json(df: DataFrame, path: str) -> None:
