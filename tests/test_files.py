@@ -1,3 +1,4 @@
+import csv
 import json
 import time
 
@@ -81,3 +82,15 @@ def test_stream(spark, tmp_path):
         time.sleep(0.5)
     q.stop()
     assert [(r["masked"], r["seen"]) for r in spark.table("weirlog_unseen").collect()] == [("who knows <*>", 2)]
+
+
+def test_single_line_records_read_alike(spark, tmp_path):
+    rows = [(str(i), f'say "{i}", NA,' if i % 3 else "", f"say <*> {i}") for i in range(50)]
+    path = str(tmp_path / "t.csv")
+    with open(path, "w", newline="") as f:
+        w = csv.writer(f)
+        w.writerow(["LineId", "Content", "EventTemplate"])
+        w.writerows(rows)
+    one, many = (readers.read_structured(spark, path, multi_line=m).orderBy("idx").collect() for m in (True, False))
+    assert one == many
+    assert [r["LineId"] for r in one] == [r[0] for r in rows]

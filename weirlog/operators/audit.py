@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import formats
 from ..functions import evaluation_key
+from ..plans.shipping import ship
 
 #: Rows whose digests one task chains before chains are chained.
 DIGEST_BLOCK = 4_096
@@ -36,12 +38,23 @@ def occurrence_check(templates: DataFrame, rows: int) -> DataFrame:
 
 
 def order_digest(df: DataFrame, value: str, order: str) -> DataFrame:
-    """One row: SHA-256 over all values in order, each followed by a line end.
+    """One row: SHA-256 over all values in order, each followed by a line end; null values are left out.
 
-    The exact digest needs its text in one row, so it is for tables of small values (ids); see block_digest beyond.
+    Such a digest is sequential by nature. Rows are sorted in ranges over all tasks; one task then reads them range by
+    range and holds a batch at a time. block_digest is another digest that needs no such task.
     """
-    text = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("string").alias("v")))), lambda s: s["v"]), "\n"), F.lit("\n"))
-    return df.agg(F.sha2(text, 256).alias("digest"), F.count("*").alias("rows"))
+    ship(df.sparkSession)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, rows = hashlib.sha256(), 0
+        for batch in batches:
+            rows += batch.num_rows
+            digest.update("".join(f"{v}\n" for v in batch.column(0).to_pylist() if v is not None).encode())
+        yield pa.record_batch([pa.array([digest.hexdigest()]), pa.array([rows], pa.int64())], names=["digest", "rows"])
+
+    values = df.select(F.col(value).cast("string").alias("v"), F.col(order).alias("o")).orderBy("o", "v").select("v")
+    whole = values.coalesce(1).mapInArrow(chain, "digest string, rows long")
+    return whole.agg(F.coalesce(F.max_by("digest", "rows"), F.sha2(F.lit(""), 256)).alias("digest"), F.coalesce(F.max("rows"), F.lit(0)).cast("long").alias("rows"))
 
 
 def block_digest(df: DataFrame, value: str, order: str, block: int = DIGEST_BLOCK) -> DataFrame:

@@ -19,9 +19,11 @@ _staged: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """spark.checkpoint.dir; in local mode, as in tests, a temporary folder where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = _fallback.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="weirlog-"))
     return path.rstrip("/")
 

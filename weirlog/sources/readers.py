@@ -11,9 +11,13 @@ from ..functions import strip_text
 _NO_NULL = "\x00weirlog-null\x00"
 
 
-def read_csv(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
-    """The named columns of CSV files with a header, all as text, quotes and line ends within fields included; BOMs are skipped."""
-    reader = spark.read.options(header=True, multiLine=True, escape='"', nullValue=_NO_NULL, emptyValue="", encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+def read_csv(spark: SparkSession, path: str | list[str], columns: list[str], multi_line: bool = True) -> DataFrame:
+    """The named columns of CSV files with a header, all as text, quotes and line ends within fields included; BOMs are skipped.
+
+    A file whose fields may hold line ends is read by one task. Without multi_line every record is a line, and files
+    are split over tasks.
+    """
+    reader = spark.read.options(header=True, multiLine=multi_line, escape='"', nullValue=_NO_NULL, emptyValue="", encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     df = reader.csv(path)
     clean = {c: c.lstrip("﻿").strip('"') for c in df.columns}
     df = df.withColumnsRenamed({a: b for a, b in clean.items() if a != b})
@@ -35,15 +39,15 @@ def with_idx(df: DataFrame) -> DataFrame:
     return joined.withColumn("idx", at).drop("p", "weirlog_base", "weirlog_n", "weirlog_p")
 
 
-def read_structured(spark: SparkSession, path: str, event_id: bool = False) -> DataFrame:
+def read_structured(spark: SparkSession, path: str, event_id: bool = False, multi_line: bool = True) -> DataFrame:
     """(idx, LineId, Content, EventTemplate[, EventId]); contents are stripped."""
-    df = read_csv(spark, path, ["LineId", "Content", "EventTemplate", *(["EventId"] if event_id else [])])
+    df = read_csv(spark, path, ["LineId", "Content", "EventTemplate", *(["EventId"] if event_id else [])], multi_line)
     return with_idx(df.withColumn("Content", strip_text(F.col("Content"))))
 
 
-def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+def read_pairs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """(idx, LineId, EventTemplate) for evaluation."""
-    return with_idx(read_csv(spark, path, ["LineId", "EventTemplate"]))
+    return with_idx(read_csv(spark, path, ["LineId", "EventTemplate"], multi_line))
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
