@@ -35,10 +35,10 @@ def position_counts(df: DataFrame, max_positions: int) -> DataFrame:
 def positional_entropy(df: DataFrame, max_positions: int) -> DataFrame:
     """Shannon entropy in bits of the tokens at each position, over the messages that reach it: (pos, messages, entropy)."""
     counts = position_counts(df, max_positions)
-    total = counts.groupBy(F.col("pos").alias("p")).agg(F.sum("n").alias("messages"))
-    p = F.col("n") / F.col("messages")
-    joined = counts.join(F.broadcast(total), F.col("pos") == F.col("p"))  # at most max_positions rows
-    return joined.groupBy("pos", "messages").agg((-F.sum(p * F.log2(p)) + 0.0).alias("entropy"))
+    total = F.sum("n")
+    # -sum(p log p) with p = n / total, in one aggregate; a position of one token has none, whatever rounding says
+    entropy = F.when(F.count("*") == 1, F.lit(0.0)).otherwise(F.log2(total.cast("double")) - F.sum(F.col("n") * F.log2("n")) / total)
+    return counts.groupBy("pos").agg(total.alias("messages"), entropy.alias("entropy"))
 
 
 def anchors(entropy: DataFrame, threshold: float) -> list[int]:

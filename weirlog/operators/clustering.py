@@ -264,9 +264,5 @@ def mine_clusters(df: DataFrame, mining: Mining) -> DataFrame:
 
 
 def number_clusters(mined: DataFrame) -> DataFrame:
-    """cluster_id from (bucket_first, local), counted from 1."""
-    heads = mined.groupBy("bucket_first", "local").agg(F.first("log_count").alias("n"))
-    ids = heads.select(F.col("bucket_first").alias("bf"), F.col("local").alias("lo"), F.row_number().over(W.orderBy("bucket_first", "local")).alias("cluster_id"))
-    return mined.join(ids, (F.col("bucket_first") == F.col("bf")) & (F.col("local") == F.col("lo"))).select("idx", "cluster_id", "log_count", "template")
-
-
+    """cluster_id from (bucket_first, local), counted from 1; one task orders the training items, whose number is bounded."""
+    return mined.withColumn("cluster_id", F.dense_rank().over(W.orderBy("bucket_first", "local"))).select("idx", "cluster_id", "log_count", "template")

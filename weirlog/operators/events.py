@@ -11,15 +11,19 @@ from pyspark.sql import functions as F
 from ..functions import template_key
 
 
-def number_events(templates: DataFrame, key: Callable[[Column], Column] = template_key) -> DataFrame:
-    """(cluster_id, event_ord, event_id, event_template) of (cluster_id, log_count, template).
+def with_events(rows: DataFrame, key: Callable[[Column], Column] = template_key) -> DataFrame:
+    """rows (cluster_id, log_count, template, ...) with event_ord, event_id and event_template; a cluster may have several rows.
 
     Clusters are taken by falling size, then id; a key's first cluster names its event and gives its template; events
-    are E1, E2, ... in this order. There are at most as many rows as clusters of a trained model.
+    are E1, E2, ... in this order. The last window orders all rows in one task: at most as many as a model is trained on.
     """
-    t = templates.withColumn("key", key(F.col("template")))
-    order = F.struct(-F.col("log_count"), F.col("cluster_id"))
-    best = t.groupBy("key").agg(F.min(order).alias("o"), F.min_by("template", order).alias("event_template"))
-    best = best.withColumn("event_ord", F.row_number().over(W.orderBy("o")))
-    named = best.select(F.col("key").alias("k"), "event_ord", F.concat(F.lit("E"), F.col("event_ord").cast("string")).alias("event_id"), "event_template")
-    return t.join(named, F.col("key") == F.col("k")).select("cluster_id", "event_ord", "event_id", "event_template")
+    order, by = F.struct(-F.col("log_count"), F.col("cluster_id")), W.partitionBy("key")
+    t = rows.withColumn("key", key(F.col("template")))
+    t = t.withColumns({"o": F.min(order).over(by), "event_template": F.min_by("template", order).over(by)})
+    t = t.withColumn("event_ord", F.dense_rank().over(W.orderBy("o")))
+    return t.withColumn("event_id", F.concat(F.lit("E"), F.col("event_ord").cast("string"))).drop("key", "o")
+
+
+def number_events(templates: DataFrame, key: Callable[[Column], Column] = template_key) -> DataFrame:
+    """(cluster_id, event_ord, event_id, event_template) of (cluster_id, log_count, template)."""
+    return with_events(templates, key).select("cluster_id", "event_ord", "event_id", "event_template")

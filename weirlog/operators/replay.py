@@ -36,15 +36,18 @@ def nearest_templates(strings: DataFrame, events: DataFrame, *, band: int = SIZE
 def replay(rows: DataFrame, trained: DataFrame, events: DataFrame, *, bound: int | None = None, **options) -> DataFrame:
     """rows (idx, masked, ...) with event_id, event_template and source (exact or nearest).
 
-    trained (masked, event_id) is the model's cache, bounded by its training limit and broadcast behind a check, so rows that it knows
-    are not shuffled, however many share a string. The others are resolved once per different string. bound: how many
-    rows trained has at most, where that is known; else they are counted.
+    trained (masked, event_id, event_template or not) is the model's cache, bounded by its training limit and broadcast behind a
+    check, so rows that it knows are not shuffled, however many share a string. The others are resolved once per different
+    string. Templates are joined to strings, not to rows. bound: how many rows trained has at most, where that is known;
+    else they are counted.
     """
-    known = rows.join(dimension(trained.select(F.col("masked").alias("t"), "event_id"), bound=bound), F.col("masked") == F.col("t"), "left").drop("t")
-    hits, misses = known.where("event_id is not null").withColumn("source", F.lit("exact")), known.where("event_id is null").drop("event_id")
-    found = nearest_templates(misses.select("masked").distinct(), events, **options).withColumnRenamed("masked", "t")
+    cache = trained if "event_template" in trained.columns else with_template(trained, events, bound=bound)
+    cache = dimension(cache.select(F.col("masked").alias("t"), "event_id", "event_template"), bound=bound)
+    known = rows.join(cache, F.col("masked") == F.col("t"), "left").drop("t")
+    hits, misses = known.where("event_id is not null").withColumn("source", F.lit("exact")), known.where("event_id is null").drop("event_id", "event_template")
+    found = with_template(nearest_templates(misses.select("masked").distinct(), events, **options), events, bound=bound).withColumnRenamed("masked", "t")
     rest = misses.join(found, F.col("masked") == F.col("t")).drop("t").withColumn("source", F.lit("nearest"))
-    return with_template(hits.unionByName(rest), events, bound=bound)
+    return hits.unionByName(rest).select(*rows.columns, "event_id", "source", "event_template")
 
 
 def with_template(rows: DataFrame, events: DataFrame, unknown: str = UNKNOWN_TEMPLATE, bound: int | None = None) -> DataFrame:

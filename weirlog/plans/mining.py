@@ -91,7 +91,7 @@ def masked_rows(df: DataFrame, format: str | Callable[[Column], Column], content
 
 @dataclass(frozen=True)
 class Model:
-    """Staged tables: strings (masked, event_id, cluster_id) and events (event_ord, event_id, event_template)."""
+    """Staged tables: strings (masked, event_id, event_template, cluster_id) and events (event_ord, event_id, event_template)."""
 
     settings: Settings
     assigned: DataFrame
@@ -103,7 +103,7 @@ class Model:
 
 
 def fit_items(items: DataFrame, s: Settings, bucketed: bool = True) -> tuple[DataFrame, DataFrame]:
-    """((idx, masked, cluster_id, event_id), (event_ord, event_id, event_template)) of items (idx, masked)."""
+    """((idx, masked, cluster_id, event_id, event_template), (event_ord, event_id, event_template)) of items (idx, masked)."""
     tok = stage(buckets.items(items), "items")
     if s.bucketing == "anchor" and bucketed:
         places = buckets.anchors(buckets.positional_entropy(tok, s.params.max_check_positions), s.params.entropy_threshold)
@@ -111,16 +111,16 @@ def fit_items(items: DataFrame, s: Settings, bucketed: bool = True) -> tuple[Dat
     else:
         tok = tok.withColumn("bucket", F.lit("ALL"))
     mined = stage(clustering.mine_clusters(tok, clustering.Mining(s.params, s.similarity, s.fold)), "mined")
-    numbered = clustering.number_clusters(mined)
+    named = clustering.number_clusters(mined)
     if s.fold == "pattern":
-        t = patterns.mine_patterns(tok.join(numbered.select(F.col("idx").alias("i"), "cluster_id"), F.col("idx") == F.col("i")).select("idx", "tokens", "cluster_id"))
+        t = patterns.mine_patterns(tok.join(named.select(F.col("idx").alias("i"), "cluster_id"), F.col("idx") == F.col("i")).select("idx", "tokens", "cluster_id"))
+        ids = stage(events.number_events(t, s.event_key), "events").withColumnRenamed("cluster_id", "c")
+        named = named.select("idx", "cluster_id").join(dimension(ids), F.col("cluster_id") == F.col("c")).drop("c")
     else:
-        t = numbered.select("cluster_id", "log_count", "template").distinct()
-    named = stage(events.number_events(t, s.event_key), "events")
-    ids = named.select(F.col("cluster_id").alias("c"), "event_id")
-    assigned = numbered.select("idx", "cluster_id").join(dimension(ids), F.col("cluster_id") == F.col("c")).drop("c")
-    assigned = assigned.join(tok.select(F.col("idx").alias("i"), "masked"), F.col("idx") == F.col("i")).drop("i")
-    return stage(assigned.select("idx", "masked", "cluster_id", "event_id"), "assigned"), named.select("event_ord", "event_id", "event_template").distinct()
+        named = events.with_events(named, s.event_key)
+    named = named.join(tok.select(F.col("idx").alias("i"), "masked"), F.col("idx") == F.col("i"))
+    named = stage(named.select("idx", "masked", "cluster_id", "event_ord", "event_id", "event_template"), "assigned")
+    return named.drop("event_ord"), named.select("event_ord", "event_id", "event_template").distinct()
 
 
 def fit(masked: DataFrame, s: Settings, *, full_parse_rows: int = FULL_PARSE_ROWS, top: int = TOP_STRINGS) -> Model:
@@ -129,16 +129,15 @@ def fit(masked: DataFrame, s: Settings, *, full_parse_rows: int = FULL_PARSE_ROW
     full = rows.limit(full_parse_rows + 1).count() <= full_parse_rows
     items = rows if full else buckets.top_strings(rows, top).select("idx", "masked")
     assigned, ev = fit_items(items, s, bucketed=full or s.bucket_training)
-    strings = assigned.groupBy("masked").agg(F.max_by("event_id", "cluster_id").alias("event_id"), F.max("cluster_id").alias("cluster_id"))
+    strings = assigned.groupBy("masked").agg(F.max(F.struct("cluster_id", "event_id", "event_template")).alias("last")).select("masked", "last.*")
     return Model(s, assigned, strings, ev, full, full_parse_rows if full else top)
 
 
 def transform(model: Model, masked: DataFrame) -> DataFrame:
     """masked with event_id, event_template and source. A full parse gives its rows their own clusters' events."""
     if model.full and model.settings.lookup != "canonical":
-        own = model.assigned.select(F.col("idx").alias("i"), "event_id")
-        r = masked.join(own, F.col("idx") == F.col("i")).drop("i").withColumn("source", F.lit("cluster"))
-        return replays.with_template(r, model.events, bound=model.bound)
+        own = model.assigned.select(F.col("idx").alias("i"), "event_id", "event_template")
+        return masked.join(own, F.col("idx") == F.col("i")).drop("i").select(*masked.columns, "event_id", F.lit("cluster").alias("source"), "event_template")
     if model.settings.lookup == "prefix":
         return replays.replay_prefix(masked, model.strings, model.events, bound=model.bound)
     if model.settings.lookup == "canonical":
