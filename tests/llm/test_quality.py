@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from weirlog.llm import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -81,6 +83,47 @@ def test_small_source_has_its_own_estimate(spark, documents):
     assert sum(not got[i] for i in got if i >= 1000) <= 1
 
 
+def plain_distances(x, tries):
+    """Log determinant and distances of the best of many random starts, each concentrated until it settles."""
+    r = np.random.default_rng(7)
+    floors, core, p = np.array(list(quality.FEATURES.values())), quality.CORE, x.shape[1]
+    wider = core / quality._chi2_share(quality._chi2(core, p), p + 2)
+    best = None
+    for _ in range(tries):
+        part, last = x[r.choice(len(x), p + 1, replace=False)], None
+        for _ in range(50):
+            mean, cov = part.mean(0), np.cov(part.T, bias=True) * wider + np.diag(floors**2)
+            d = np.sqrt(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean))
+            steps = np.round(d * quality.GRAIN)
+            part = x[steps <= np.sort(steps)[int(np.ceil(core * len(x))) - 1]]
+            det = np.linalg.slogdet(cov)[1]
+            if last is not None and abs(det - last) < 1e-9:
+                break
+            last = det
+        if best is None or det < best[0]:
+            best = det, d
+    return best
+
+
+def test_smallest_determinant(spark, documents):
+    r = random.Random(6)
+    rows = []
+    for i in range(160):
+        text = prose(r, r.randint(60, 300))
+        if i % 10 < 4:  # two fifths are shouted and full of signs: the mean lies between both kinds
+            text = " ".join(w.upper() + "#$" * (i % 3) for w in text.split())
+        rows.append((i, text, "en", "s"))
+    docs = documents(rows)
+    d = quality._features(quality.statistics(docs)).withColumn("grp", quality.F.lit("g")).select("doc_id", "grp", *quality.FEATURES)
+    x = np.array([[row[a] for a in quality.FEATURES] for row in d.orderBy("doc_id").collect()])
+    det, far = plain_distances(x, 300)
+    est = quality._concentrate(d.drop("doc_id"), quality.CORE, quality.STEPS).collect()
+    assert len(est) == 1 and abs(est[0]["log_det"] - det) < 1e-3
+    got = {q["doc_id"]: q for q in quality.quality_rules(docs).collect()}
+    assert max(abs(got[i]["distance"] - far[i]) / far[i] for i in range(160)) < 0.01
+    assert not any(got[i]["kept"] for i in got if i % 10 < 4) and sum(not got[i]["kept"] for i in got if i % 10 >= 4) <= 2
+
+
 def test_quantiles():
     assert abs(quality._chi2(0.5, 6) - 5.34812) < 1e-4 and abs(quality._chi2(0.999, 6) - 22.45774) < 1e-4
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,12 +17,17 @@ MAX_REPEAT_PERCENT = 50
 MIN_GROUP = 30
 #: Share of a group's documents that its estimate rests on.
 CORE = 0.5
-STEPS = 4
+#: Concentration steps from each start, and at most how many more from the start with the smallest determinant.
+FIRST_STEPS, STEPS = 2, 20
+#: Steps end when no group's log determinant changes by more.
+SETTLED = 1e-6
 #: Reject beyond the distance that this share of normal documents keeps within.
 REACH = 0.999
 #: Transformed statistics and the standard deviation below which none is taken as known; f_lines (at most 1) and f_repeat
 #: (at most sqrt(0.5)) can each pass the limit alone.
 FEATURES = {"f_length": 0.08, "f_symbols": 0.05, "f_lines": 0.18, "f_repeat": 0.13, "f_upper": 0.05, "f_marks": 0.04}
+#: Standard deviation of normal data over their median absolute deviation.
+NORMAL_MAD = 1.4826
 #: Histogram steps a unit, for medians and quantiles that do not depend on the order of rows.
 GRAIN = 256
 
@@ -101,8 +107,8 @@ def _whiten(prefix: str = "") -> Column:
     return total
 
 
-def _estimate(near: DataFrame, core: float) -> DataFrame:
-    """Mean and Cholesky factor of each group's covariance, its diagonal raised by the squared floors.
+def _estimate(near: DataFrame, core: float, *keys: str) -> DataFrame:
+    """Mean and Cholesky factor of the covariance by keys, its diagonal raised by the squared floors, and its log determinant.
 
     The covariance of the core share nearest to the centre is first scaled to that of the whole, as for normal data.
     """
@@ -110,7 +116,7 @@ def _estimate(near: DataFrame, core: float) -> DataFrame:
     wider = core / _chi2_share(_chi2(core, len(names)), len(names) + 2)
     sums = [F.count("*").alias("n")] + [F.sum(a).alias(f"s_{a}") for a in names]
     sums += [F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]]
-    g = near.groupBy("grp").agg(*sums).withColumns({f"m_{a}": F.round(F.col(f"s_{a}") / F.col("n"), 9) for a in names})
+    g = near.groupBy(*keys).agg(*sums).withColumns({f"m_{a}": F.round(F.col(f"s_{a}") / F.col("n"), 9) for a in names})
     cov = {}
     for i, a in enumerate(names):
         for b in names[: i + 1]:
@@ -125,19 +131,71 @@ def _estimate(near: DataFrame, core: float) -> DataFrame:
                 v = v - F.col(f"l_{a}_{names[k]}") * F.col(f"l_{b}_{names[k]}")
             v = F.sqrt(F.greatest(v, F.lit((0.3 * FEATURES[a]) ** 2))) if i == j else v / F.col(f"l_{b}_{b}")
             g = g.withColumn(f"l_{a}_{b}", v)
-    return g.select("grp", *[f"m_{a}" for a in names], *[f"l_{a}_{b}" for i, a in enumerate(names) for b in names[: i + 1]])
+    log_det = F.lit(0.0)
+    for a in names:
+        log_det = log_det + 2 * F.log(f"l_{a}_{a}")
+    return g.select(*keys, *_PARTS, F.round(log_det, 9).alias("log_det"))
 
 
-def _attach(d: DataFrame, g: DataFrame) -> DataFrame:
-    g = dimension(g.withColumnRenamed("grp", "d_grp"))
-    return d.join(g, same(d, g, "grp"), "left").drop("d_grp")
+#: Columns of an estimate: means and the lower triangle of the Cholesky factor.
+_PARTS = [f"m_{a}" for a in FEATURES] + [f"l_{a}_{b}" for i, a in enumerate(FEATURES) for b in list(FEATURES)[: i + 1]]
+
+
+def _attach(d: DataFrame, g: DataFrame, *keys: str) -> DataFrame:
+    keys = keys or ("grp",)
+    g = dimension(g.withColumnsRenamed({k: f"d_{k}" for k in keys}))
+    return d.join(g, same(d, g, *keys), "left").drop(*[f"d_{k}" for k in keys])
+
+
+def _starts(wide: DataFrame) -> DataFrame:
+    """(grp, start, m_*, l_*): medians with the floors as scale, medians with median absolute deviations, mean and covariance."""
+    long = wide.select("grp", F.explode(F.create_map(*[x for a in FEATURES for x in (F.lit(a), F.col(a))])).alias("name", "value"))
+    mid = stage(_quantile(long, ["grp", "name"], F.col("value"), 0.5, "mid"), "qualitymid")
+    off = _quantile(_attach(long, mid, "grp", "name"), ["grp", "name"], F.abs(F.col("value") - F.col("mid")), 0.5, "off")
+    both = mid.join(off, ["grp", "name"]).groupBy("grp").pivot("name", list(FEATURES)).agg(F.first("mid").alias("mid"), F.first("off").alias("off"))
+    means = [F.col(f"{a}_mid").alias(f"m_{a}") for a in FEATURES]
+
+    def diagonal(start: str, scale: Callable[[str], Column]) -> DataFrame:
+        factor = [(scale(a) if a == b else F.lit(0.0)).alias(f"l_{a}_{b}") for i, a in enumerate(FEATURES) for b in list(FEATURES)[: i + 1]]
+        return both.select("grp", F.lit(start).alias("start"), *means, *factor)
+
+    floors = diagonal("floors", lambda a: F.lit(FEATURES[a]))
+    deviations = diagonal("deviations", lambda a: F.greatest(F.lit(FEATURES[a]), F.col(f"{a}_off") * NORMAL_MAD))
+    moments = _estimate(wide, 1.0, "grp").select("grp", F.lit("moments").alias("start"), *_PARTS)
+    return floors.unionByName(deviations).unionByName(moments)
+
+
+def _step(wide: DataFrame, est: DataFrame, core: float, *more: str) -> DataFrame:
+    """One concentration step: the estimate from the core share of each group that is nearest to est; more: key of several starts."""
+    far = _attach(wide, est).withColumn("d2", _whiten()).select("grp", *more, *FEATURES, "d2")
+    edge = stage(_quantile(far, ["grp", *more], F.sqrt("d2"), core, "edge"), "qualityedge")
+    near = _attach(far, edge, "grp", *more).where(F.round(F.sqrt("d2") * GRAIN) <= F.col("edge") * GRAIN)
+    return stage(_estimate(near, core, "grp", *more), "qualityest")
+
+
+def _concentrate(wide: DataFrame, core: float, steps: int) -> DataFrame:
+    """(grp, m_*, l_*, log_det): of several starts the one with the smallest determinant after some steps, then steps until it settles."""
+    est = stage(_starts(wide), "qualityest")
+    for _ in range(FIRST_STEPS):
+        est = _step(wide, est, core, "start")
+    best = est.groupBy("grp").agg(F.min_by(F.struct(*_PARTS, "log_det"), F.struct("log_det", "start")).alias("best"))
+    est = stage(best.select("grp", "best.*"), "qualityest")
+    for _ in range(steps):
+        new = _step(wide, est, core)
+        moved = _attach(new.select("grp", "log_det"), est.select("grp", F.col("log_det").alias("before"))).agg(F.max(F.abs(F.col("log_det") - F.col("before")))).first()[0]
+        est = new
+        if (moved or 0.0) <= SETTLED:
+            break
+    return est
 
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", core: float = CORE, steps: int = STEPS, reach: float = REACH) -> DataFrame:
     """Base rules, then the minimum-covariance-determinant rule within each language and source.
 
-    The estimate starts from medians with the floors as scale, and repeats concentration steps: the CORE share of a
-    group nearest to its centre gives the next centre and covariance. A document is rejected when its squared
+    Each group's estimate has three fixed starts: medians with the floors as scale, medians with median absolute
+    deviations, mean and covariance. In a concentration step the CORE share of a group nearest to its centre gives the next
+    centre and covariance. After FIRST_STEPS the start with the smallest determinant is taken on, until no group's log
+    determinant moves by more than SETTLED, in at most `steps`. A document is rejected when its squared
     Mahalanobis distance is over the chi-square quantile of `reach`, times the median correction: the squared distance
     that CORE of its group keeps within over the chi-square quantile of CORE, at least 1. Documents that fail the base rules do not take part in estimates. Groups under MIN_GROUP use their language, then all documents.
     Only sums and histograms by group are shuffled after the statistics are staged.
@@ -163,17 +221,9 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     lean = good.select("lang", "source", "grp", *FEATURES)
     wide = lean.select("*", F.explode(F.array_distinct(F.array("grp", tongue, F.lit("[]")))).alias("g")).drop("lang", "source", "grp").withColumnRenamed("g", "grp")
     wide = wide.join(F.broadcast(n.select("grp").distinct()) if n.limit(10_001).count() <= 10_000 else n.select("grp").distinct(), "grp", "left_semi")
-    long = wide.select("grp", F.explode(F.create_map(*[x for a in FEATURES for x in (F.lit(a), F.col(a))])).alias("name", "value"))
-    mid = _quantile(long, ["grp", "name"], F.col("value"), 0.5, "mid").groupBy("grp").pivot("name", list(FEATURES)).agg(F.first("mid"))
-    est = mid.select("grp", *[F.col(a).alias(f"m_{a}") for a in FEATURES], *[F.lit(FEATURES[a] if a == b else 0.0).alias(f"l_{a}_{b}") for i, a in enumerate(FEATURES) for b in list(FEATURES)[: i + 1]])
-    est = stage(est, "qualityest")
-    for _ in range(steps):
-        far = _attach(wide, est).withColumn("d2", _whiten())
-        edge = stage(_quantile(far, ["grp"], F.sqrt("d2"), core, "edge"), "qualityedge")
-        near = _attach(far.select("grp", *FEATURES, "d2"), edge).where(F.round(F.sqrt("d2") * GRAIN) <= F.col("edge") * GRAIN)
-        est = stage(_estimate(near, core), "qualityest")
+    est = _concentrate(wide, core, steps)
     edge = stage(_quantile(_attach(wide, est).withColumn("d2", _whiten()), ["grp"], F.sqrt("d2"), core, "edge"), "qualityedge")
-    model = _attach(est, edge)
+    model = _attach(est.drop("log_det"), edge)
     d = _attach(d, stage(model, "qualitymodel")).withColumn("distance", F.sqrt(_whiten()))
     whole, half = _chi2(reach, len(FEATURES)), _chi2(core, len(FEATURES))
     limit = F.greatest(F.col("edge") / math.sqrt(half), F.lit(1.0)) * math.sqrt(whole)
