@@ -141,17 +141,23 @@ def _estimate(near: DataFrame, core: float, *keys: str) -> DataFrame:
 _PARTS = [f"m_{a}" for a in FEATURES] + [f"l_{a}_{b}" for i, a in enumerate(FEATURES) for b in list(FEATURES)[: i + 1]]
 
 
-def _attach(d: DataFrame, g: DataFrame, *keys: str) -> DataFrame:
+#: Groups up to which tables of estimates (three rows a group at most, 28 numbers each) are broadcast.
+SMALL_GROUPS = 10_000
+
+
+def _attach(d: DataFrame, g: DataFrame, *keys: str, small: bool = False) -> DataFrame:
+    """d with g's columns; small: g holds estimates of at most SMALL_GROUPS groups, which was counted before."""
     keys = keys or ("grp",)
-    g = dimension(g.withColumnsRenamed({k: f"d_{k}" for k in keys}))
+    g = g.withColumnsRenamed({k: f"d_{k}" for k in keys})
+    g = F.broadcast(g) if small else g
     return d.join(g, same(d, g, *keys), "left").drop(*[f"d_{k}" for k in keys])
 
 
-def _starts(wide: DataFrame) -> DataFrame:
+def _starts(wide: DataFrame, small: bool) -> DataFrame:
     """(grp, start, m_*, l_*): medians with the floors as scale, medians with median absolute deviations, mean and covariance."""
     long = wide.select("grp", F.explode(F.create_map(*[x for a in FEATURES for x in (F.lit(a), F.col(a))])).alias("name", "value"))
     mid = stage(_quantile(long, ["grp", "name"], F.col("value"), 0.5, "mid"), "qualitymid")
-    off = _quantile(_attach(long, mid, "grp", "name"), ["grp", "name"], F.abs(F.col("value") - F.col("mid")), 0.5, "off")
+    off = _quantile(_attach(long, mid, "grp", "name", small=small), ["grp", "name"], F.abs(F.col("value") - F.col("mid")), 0.5, "off")
     both = mid.join(off, ["grp", "name"]).groupBy("grp").pivot("name", list(FEATURES)).agg(F.first("mid").alias("mid"), F.first("off").alias("off"))
     means = [F.col(f"{a}_mid").alias(f"m_{a}") for a in FEATURES]
 
@@ -165,24 +171,24 @@ def _starts(wide: DataFrame) -> DataFrame:
     return floors.unionByName(deviations).unionByName(moments)
 
 
-def _step(wide: DataFrame, est: DataFrame, core: float, *more: str) -> DataFrame:
+def _step(wide: DataFrame, est: DataFrame, core: float, small: bool, *more: str) -> DataFrame:
     """One concentration step: the estimate from the core share of each group that is nearest to est; more: key of several starts."""
-    far = _attach(wide, est).withColumn("d2", _whiten()).select("grp", *more, *FEATURES, "d2")
-    edge = stage(_quantile(far, ["grp", *more], F.sqrt("d2"), core, "edge"), "qualityedge")
-    near = _attach(far, edge, "grp", *more).where(F.round(F.sqrt("d2") * GRAIN) <= F.col("edge") * GRAIN)
+    far = _attach(wide, est, small=small).withColumn("d2", _whiten()).select("grp", *more, *FEATURES, "d2")
+    edge = _quantile(far, ["grp", *more], F.sqrt("d2"), core, "edge")
+    near = _attach(far, edge, "grp", *more, small=small).where(F.round(F.sqrt("d2") * GRAIN) <= F.col("edge") * GRAIN)
     return stage(_estimate(near, core, "grp", *more), "qualityest")
 
 
-def _concentrate(wide: DataFrame, core: float, steps: int) -> DataFrame:
+def _concentrate(wide: DataFrame, core: float, steps: int, small: bool = False) -> DataFrame:
     """(grp, m_*, l_*, log_det): of several starts the one with the smallest determinant after some steps, then steps until it settles."""
-    est = stage(_starts(wide), "qualityest")
+    est = stage(_starts(wide, small), "qualityest")
     for _ in range(FIRST_STEPS):
-        est = _step(wide, est, core, "start")
+        est = _step(wide, est, core, small, "start")
     best = est.groupBy("grp").agg(F.min_by(F.struct(*_PARTS, "log_det"), F.struct("log_det", "start")).alias("best"))
     est = stage(best.select("grp", "best.*"), "qualityest")
     for _ in range(steps):
-        new = _step(wide, est, core)
-        moved = _attach(new.select("grp", "log_det"), est.select("grp", F.col("log_det").alias("before"))).agg(F.max(F.abs(F.col("log_det") - F.col("before")))).first()[0]
+        new = _step(wide, est, core, small)
+        moved = _attach(new.select("grp", "log_det"), est.select("grp", F.col("log_det").alias("before")), small=small).agg(F.max(F.abs(F.col("log_det") - F.col("before")))).first()[0]
         est = new
         if (moved or 0.0) <= SETTLED:
             break
@@ -220,11 +226,13 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     # a group that borrows a wider estimate also counts in it: every document stands for its own group and the wider ones
     lean = good.select("lang", "source", "grp", *FEATURES)
     wide = lean.select("*", F.explode(F.array_distinct(F.array("grp", tongue, F.lit("[]")))).alias("g")).drop("lang", "source", "grp").withColumnRenamed("g", "grp")
-    wide = wide.join(F.broadcast(n.select("grp").distinct()) if n.limit(10_001).count() <= 10_000 else n.select("grp").distinct(), "grp", "left_semi")
-    est = _concentrate(wide, core, steps)
-    edge = stage(_quantile(_attach(wide, est).withColumn("d2", _whiten()), ["grp"], F.sqrt("d2"), core, "edge"), "qualityedge")
-    model = _attach(est.drop("log_det"), edge)
-    d = _attach(d, stage(model, "qualitymodel")).withColumn("distance", F.sqrt(_whiten()))
+    small = n.limit(SMALL_GROUPS + 1).count() <= SMALL_GROUPS
+    used = n.select("grp").distinct()
+    wide = wide.join(F.broadcast(used) if small else used, "grp", "left_semi")
+    est = _concentrate(wide, core, steps, small)
+    edge = stage(_quantile(_attach(wide, est, small=small).withColumn("d2", _whiten()), ["grp"], F.sqrt("d2"), core, "edge"), "qualityedge")
+    model = _attach(est.drop("log_det"), edge, small=small)
+    d = _attach(d, stage(model, "qualitymodel"), small=small).withColumn("distance", F.sqrt(_whiten()))
     whole, half = _chi2(reach, len(FEATURES)), _chi2(core, len(FEATURES))
     limit = F.greatest(F.col("edge") / math.sqrt(half), F.lit(1.0)) * math.sqrt(whole)
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= F.coalesce(limit, F.lit(0.0)))
