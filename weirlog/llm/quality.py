@@ -20,7 +20,7 @@ CORE = 0.5
 #: Concentration steps from each start, and at most how many more from the start with the smallest determinant.
 FIRST_STEPS, STEPS = 2, 20
 #: Steps end when no group's log determinant changes by more.
-SETTLED = 1e-6
+SETTLED = 1e-3
 #: Reject beyond the distance that this share of normal documents keeps within.
 REACH = 0.999
 #: Transformed statistics and the standard deviation below which none is taken as known; f_lines (at most 1) and f_repeat
